@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from affilink.llm.op01_jaccard_join import op1_jaccard_join
 from affilink.llm.op02_token_planes import op2_token_planes
+from affilink.llm.op03_media import op3_media
 from affilink.llm.op04_licenses import op4_licenses
 from affilink.llm.op05_packing import op5_packing
 from affilink.llm.op06_language_id import op6_language_id
@@ -15,7 +16,7 @@ from affilink.llm.op10_quality import op10_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_planes, op4_licenses, op5_packing, op6_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_planes, op3_media, op4_licenses, op5_packing, op6_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
