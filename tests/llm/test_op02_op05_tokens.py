@@ -22,6 +22,16 @@ def library(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
 
 
+@pytest.mark.parametrize("vocabulary", [VOCABULARY])
+def test_plain_runs_give_the_ids_of_the_library(vocabulary):
+    rng = random.Random(2)
+    plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]] + ["'s", "'LL", "the", "ing", "Ä", "ß", "×", "÷", "ª", "²"]
+    runs = ["".join(rng.choices(plain, k=rng.randrange(1, 14))) for _ in range(4000)]
+    enc = RunEncoder(vocabulary)
+    assert [np.frombuffer(enc.encode(r), "<u4").tolist() for r in runs] == [x[:-1] for x in library(runs)]
+    assert enc.memo.encode == enc.run
+
+
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
