@@ -11,9 +11,15 @@ are of the second kind is chosen by cost: rows written, and pairs that meet by c
 (nearly) empty. A set is indexed in its own band, and in the band below if a smaller partner could be there.
 
 Classes that meet under one key (a bucket) aren't all paired. Each is checked against the bucket's smallest and largest
-class, the links give components, and only classes of different components that still share a bucket are paired; so
-the components are exactly those of all links, and a bucket of very many near copies costs a multiple of its size, not
-its square. Pairs are verified by the exact size of the intersection of their sets.
+class, and the links give components. Classes in buckets of several components remain; among them linked pairs of
+different components are sought. There elements are ordered from rare to common. What stands in a set before its first
+element in common with another is missing in that one, so both sets' places of their first common element tell of more
+differences than H, or the pair is a candidate. Only places up to H + 1 can matter, a tenth of a set. A candidate's odd
+sketches (a bit for each hash range, flipped by each element in it) must not differ in more than H bits either, since each
+element that one set lacks flips one bit; both are conditions of the join, so that pairs far apart never become rows. Within one element
+the classes outside its largest component are paired with all of other components, so a component of very many near
+copies is never paired with itself. Pairs are verified by the exact size of the intersection of their sets, so the
+components are exactly those of all links.
 
 Words are runs other than U+0009 to U+000D and U+0020, after lower-casing A to Z. With fewer words than n, the whole
 sequence is the one element; null, empty or blank texts have an empty set, linked with nothing. A null doc_id counts
@@ -29,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affilink.llm.components import connected
@@ -37,12 +43,16 @@ from affilink.llm.shared import dropped, table, written
 
 NGRAM = 3
 LEAST_NUM, LEAST_DEN = 90, 100
-BAND_RATIO = 1.5
+BAND_RATIO = 1.25
+#: Bytes of text a word, where sizes of sets are estimated for the cost alone.
+WORD_BYTES = 6.2
 LARGEST_SET = 1 << 34
 #: What a pair that meets by chance costs, in rows of the index.
 PAIR_COST = 4.0
 #: Rounds of checks against a bucket's ends before what is left is paired.
 STAR_ROUNDS = 2
+#: 64-bit words of a set's odd sketch.
+SKETCH_WORDS = 8
 MEMO_WORDS = 500_000
 _NO_ID = -(1 << 63)
 
@@ -66,8 +76,17 @@ def difference(r: int, s: int, num: int, den: int) -> int:
     return (r + s) * (den - num) // (den + num)
 
 
-def bands(n_docs: int, num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float = BAND_RATIO) -> list[Band]:
-    """Bands from the smallest size at which linked sets can differ. single + 2 * double = H + 1 of a band's largest pair."""
+def crowds(docs: DataFrame) -> dict[int, int]:
+    """Documents by their estimated set size, as powers of BAND_RATIO; at most some hundred."""
+    size = F.greatest(F.lit(1.0), F.octet_length("text") / WORD_BYTES)
+    return {r[0]: r[1] for r in docs.filter("text is not null").groupBy(F.floor(F.log(size) / float(np.log(BAND_RATIO))).cast("long")).count().collect()}
+
+
+def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float = BAND_RATIO) -> list[Band]:
+    """Bands from the smallest size at which linked sets can differ. single + 2 * double = H + 1 of a band's largest pair.
+
+    crowd is that of crowds(); it decides costs, not results.
+    """
     size = 1
     while size < LARGEST_SET and difference(size, size * den // num, num, den) == 0:
         size += 1
@@ -75,6 +94,8 @@ def bands(n_docs: int, num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float
     while size < LARGEST_SET:
         above = max(size + 1, int(np.ceil(size * ratio)))
         units = difference(above - 1, (above - 1) * den // num, num, den) + 1
+        at = int(np.log(size) / np.log(ratio))
+        n_docs = sum(crowd.get(k, 0) for k in range(at - 1, at + 3))
 
         def cost(double: int) -> float:
             n = units - double
@@ -150,11 +171,11 @@ def keys_of(s: np.ndarray, plan: list[Band], least: np.ndarray, num: int, den: i
     return np.concatenate(out).view(np.int64)
 
 
-def indexed(docs: DataFrame, n: int, num: int, den: int, n_docs: int) -> DataFrame:
+def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, class_key, keys of docs (doc_id, text)."""
+    plan = bands(crowds(docs), num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = bands(n_docs, num, den)
         least = np.array([b.least for b in plan])
         memo = _Memo()
         for batch in batches:
@@ -171,8 +192,16 @@ def indexed(docs: DataFrame, n: int, num: int, den: int, n_docs: int) -> DataFra
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, class_key long, keys array<long>")
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mixed(s + np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+_SKETCH = [f"odd{k}" for k in range(SKETCH_WORDS)]
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """class_key, size, elements of docs (text)."""
+    """class_key, size, elements and the odd sketch's words of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
@@ -180,9 +209,11 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             sets = [ngram_set(text.as_py(), n, memo) for text in batch.column(0)]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["class_key", "size", "elements"])
+            sketches = np.array([odd_sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH_WORDS)
+            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["class_key", "size", "elements", *_SKETCH])
 
-    return docs.select(docs["text"].cast("binary")).mapInArrow(run, "class_key long, size long, elements array<long>")
+    return docs.select(docs["text"].cast("binary")).mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -196,11 +227,33 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "a_size", "b_size", shared.alias("shared")).filter(F.col("shared") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
 
+def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that hold all linked ones of different components among classes (class_key, component)."""
+    own = sets.join(classes, "class_key")
+    rows = own.select("class_key", "component", "size", F.explode("elements").alias("element"))
+    counts = rows.groupBy("element").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("class_key").orderBy("sets", "element")
+    # the most elements that a linked set of the largest size leaves out, and one
+    reach = F.expr(f"(size + size * {den} div {num}) * {den - num} div {den + num}") + 1
+    rows = rows.join(counts, "element").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= reach).filter("sets > 1")
+    held = rows.groupBy("element", "component").agg(F.count("*").alias("n")).groupBy("element").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
+    rows = rows.join(held.filter("components > 1"), "element").join(own.select("class_key", *_SKETCH), "class_key")
+    side = lambda p: [F.col("class_key").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("component", "size", "place", *_SKETCH))]
+    less = rows.filter("component <> largest").select("element", *side("x"))
+    every = rows.select("element", *side("y"))
+    most = f"(x_size + y_size) * {den - num} div {den + num}"
+    flipped = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _SKETCH)
+    few = F.expr(f"x_place + y_place - 2 <= {most} and {flipped} <= {most}")
+    alike = F.least("x_size", "y_size") * den >= F.greatest("x_size", "y_size") * num
+    met = less.join(every, (less.element == every.element) & (F.col("x_component") != F.col("y_component")) & few & alike)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den: int = LEAST_DEN) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, class_key."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    index, index_path = written(spark, indexed(docs, n, num, den, docs.count()), "jaccard-index")
+    index, index_path = written(spark, indexed(docs, n, num, den), "jaccard-index")
     rows = index.select("class_key", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low <> high")
     # a class appears in a bucket once, however many copies it has
@@ -223,8 +276,7 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
             ends = left.select(F.col("class_key").alias("x"), F.explode(F.array("low", "high")).alias("y"))
             pairs = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            other = left.select("key", F.col("class_key").alias("b"), F.col("component").alias("b_component"))
-            pairs = left.join(other, "key").filter("class_key < b and component <> b_component").select(F.col("class_key").alias("a"), "b").distinct()
+            pairs = across(left.select("class_key", "component").distinct(), sets, num, den)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, pairs_path = written(spark, pairs, "jaccard-pairs")

@@ -83,7 +83,7 @@ def test_a_large_group_of_near_copies_is_not_paired_out(spark):
 @pytest.mark.parametrize("n_docs", [10, 10**9])
 def test_bands_hold_enough_units(n_docs):
     """Small sets of a large corpus take neighbourhoods short of one element; a small corpus takes plain segments."""
-    plan = join.bands(n_docs)
+    plan = join.bands({k: n_docs // 4 for k in range(60)})
     for band, above in zip(plan[:12], plan[1:]):
         most = max(join.difference(r, s, 90, 100) for r in range(band.least, above.least) for s in (r, r * 100 // 90))
         assert band.single + 2 * band.double == most + 1
@@ -93,7 +93,7 @@ def test_bands_hold_enough_units(n_docs):
 @pytest.mark.parametrize("n_docs", [10, 10**9])
 def test_sets_within_the_difference_share_a_key(n_docs):
     rng = np.random.default_rng(3)
-    plan = join.bands(n_docs)
+    plan = join.bands({k: n_docs // 4 for k in range(60)})
     least = np.array([b.least for b in plan])
     for _ in range(300):
         r = int(2 ** rng.uniform(3.2, 9))
