@@ -32,9 +32,9 @@ class Corpus(NamedTuple):
     cosines: Callable[[DataFrame], DataFrame]  # query_id, text, doc_key to query_id, doc_key, cosine
 
 
-def corpus(docs: DataFrame, embedded: DataFrame | None = None, fuzzy: bool = True, encoder=vectors.hashed_trigrams) -> Corpus:
-    """Over documents() rows, and their vectors (doc_key, vector); encoded here if not given."""
-    index = lexical.build_index(docs)
+def corpus(docs: DataFrame, embedded: DataFrame | None = None, fuzzy: bool = True, encoder=vectors.hashed_trigrams, index: lexical.Index | None = None) -> Corpus:
+    """Over documents() rows, their vectors (doc_key, vector) and their index; both are made here if not given."""
+    index = index or lexical.build_index(docs)
     if embedded is None:
         from affilink.operators.documents import embed_text
 
