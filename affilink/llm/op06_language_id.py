@@ -36,16 +36,20 @@ BUCKETS = 1 << 15
 BATCH = 32
 RATE = 0.3
 FOLDS, HELD_OUT = 3, 1
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 BLOCK_WORDS = 1 << 21
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of a word's features; the word lower-cased, without what isn't a letter at its ends."""
-    w = _EDGES.sub("", word.lower())
+def plain(run: str) -> str:
+    """A run of characters as a word: lower-cased, without what isn't a letter at its ends."""
+    return _EDGES.sub("", run.lower())
+
+
+def features(w: str, lexicon: dict[str, int]) -> list[int]:
+    """Buckets of a plain() word's features."""
     if len(w) > 40:
         w = w[:20] + w[-20:]  # features lie at the ends; a run this long is no word
     padded = f"<{w}>"
@@ -64,7 +68,7 @@ def lexicon_of(docs: list[tuple[list[str], int]], n_labels: int) -> dict[str, in
     """Words that one language has far more often than the others."""
     seen = [Counter() for _ in range(n_labels)]
     for words, label in docs:
-        seen[label].update({_EDGES.sub("", w.lower()) for w in words})
+        seen[label].update({plain(w) for w in words})
     total = [max(1, sum(c.values())) for c in seen]
     out = {}
     for label, counts in enumerate(seen):
@@ -104,8 +108,8 @@ class Model:
         self.transitions = np.zeros((n, n))
         self.start = np.zeros(n)
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(0)
+    def emission(self, run: str) -> np.ndarray:
+        return self.weights[features(plain(run), self.lexicon)].sum(0)
 
     def fit(self, docs: list[tuple[list[str], int]], seed: int = 0) -> Model:
         """Stochastic gradient ascent (with per-weight step sizes) of the chains' conditional log-likelihood."""
@@ -123,7 +127,7 @@ class Model:
             for w in words:
                 if w not in ids:
                     ids[w] = len(ids)
-                    flat += features(w, self.lexicon)
+                    flat += features(plain(w), self.lexicon)
                     bounds.append(len(flat))
         flat, bounds = np.array(flat, dtype=np.int64), np.array(bounds)
         x = np.array([[ids[w] for w in words] for words, _ in windows]).reshape(-1, WINDOW)
@@ -165,7 +169,7 @@ class Model:
 
 
 class Labeller:
-    """A worker's side: keeps emissions by run of characters; -1 stands for runs without a letter."""
+    """A worker's side: keeps emissions by word, and the words of runs; -1 stands for runs without a letter."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -174,17 +178,19 @@ class Labeller:
     def clear(self) -> None:
         class Memo(dict):
             def __missing__(memo, run: str) -> int:  # noqa: N805
-                if _LETTER.search(run):
-                    if self.known == len(self.table):
+                if not _LETTER.search(run):
+                    at = -1
+                elif (at := self.words.get(word := plain(run))) is None:
+                    at = self.words[word] = self.known
+                    if at == len(self.table):
                         self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[self.known] = self.model.emission(run)
-                    memo[run] = self.known
+                    self.table[at] = self.model.weights[features(word, self.model.lexicon)].sum(0)
                     self.known += 1
-                else:
-                    memo[run] = -1
-                return memo[run]
+                if len(run) <= 64:
+                    memo[run] = at
+                return at
 
-        self.memo, self.known = Memo(), 0
+        self.memo, self.words, self.known = Memo(), {}, 0
         self.table = np.zeros((1024, len(self.model.labels)), dtype=np.float32)
 
     def probabilities(self, texts: list[str | None]) -> list[np.ndarray]:
