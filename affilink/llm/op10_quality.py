@@ -34,7 +34,7 @@ EPOCHS = 6
 RATE = 4.0
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-MEMO_RUNS = 300_000
+MEMO_RUNS = 800_000
 LONGEST_RUN = 64
 #: Buckets with a meaning of their own.
 EMPTY, SAME = 0, 1
