@@ -116,7 +116,7 @@ def parent_union(queries: DataFrame, found: DataFrame, own: Corpus, size: int =
     fallback = decompose.primary(queries, found).filter("parent_id is null").select("query_id", F.lit(1).alias("hypothesis"), "institution_part")
     parts = found.select("query_id", "hypothesis", "institution_part").unionByName(fallback).filter("institution_part <> ''")
     once = Window.partitionBy("query_id", "institution_part").orderBy("hypothesis")
-    parts = parts.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
+    parts = parts.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n").cache()
     # a part is searched once for all queries that have it
     texts = parts.select(F.col("institution_part").alias("query_id"), F.col("institution_part").alias("text")).distinct()
     pools = pool(texts, own, "parent", size).withColumnRenamed("query_id", "institution_part")
@@ -163,8 +163,9 @@ def resolve(queries: DataFrame, own: Corpus, size: int = POOL_SIZE) -> Resolved:
     def search(texts: DataFrame, top: int) -> DataFrame:
         return own.lexical(texts, "parent", top).select("query_id", "rank", F.substring_index("doc_key", ":", -1).alias("id"))
 
-    found = decompose.hypotheses(queries, parents, search)
-    union = parent_union(queries, found, own, size)
+    # both feed several searches each; small tables, kept so that none is planned and run anew
+    found = decompose.hypotheses(queries, parents, search).cache()
+    union = parent_union(queries, found, own, size).cache()
     allowed = cascade_parents(union, found)
     every = pool(queries, own, "subunit", size)
     under = pool(queries.join(allowed.select("query_id").distinct(), "query_id", "left_semi"), own, "subunit", size, allowed)

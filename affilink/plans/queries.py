@@ -358,25 +358,6 @@ def decompose_hypotheses(spark, sf):
     return decompose.hypotheses(_part_queries(spark, sf), docs.filter("record_type = 'parent'").select("id", "name", "aliases"), search)
 
 
-def _resolved(spark, sf):
-    return cascade.resolve(_part_queries(spark, sf), cascade.corpus(_part_docs(spark, sf), fuzzy=False))
-
-
-@query()
-def resolve_parents(spark, sf):
-    return _resolved(spark, sf).parents
-
-
-@query()
-def resolve_subunits(spark, sf):
-    return _resolved(spark, sf).subunits
-
-
-@query()
-def gate_decision(spark, sf):
-    return decisions.gate(_part_queries(spark, sf), _resolved(spark, sf).parents)
-
-
 @query("WITH c AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS position FROM part), e AS (SELECT p_brand, min(p_partkey) AS expected FROM part GROUP BY p_brand), h AS (SELECT e.p_brand, c.position FROM e JOIN c ON c.p_brand = e.p_brand AND c.p_partkey = e.expected), k AS (SELECT unnest([1, 5, 10]) AS k) SELECT CAST(k AS INTEGER) AS k, count(*) AS queries, CAST(sum(CASE WHEN position <= k THEN 1 ELSE 0 END) AS BIGINT) AS hits, sum(CASE WHEN position <= k THEN 1 ELSE 0 END) / count(*) AS recall FROM h, k GROUP BY k")
 def recall_at_k(spark, sf):
     part = _t(spark, sf, "part")

@@ -135,23 +135,6 @@ def test_budgets_count_new_records_only(spark):
     assert sorted((r.hypothesis, r.doc_key) for r in kept) == [(1, "a"), (1, "b"), (1, "c"), (2, "f"), (2, "g"), (2, "h"), (3, "i"), (3, "j"), (3, "k")]
 
 
-def test_resolution_end_to_end(spark, docs):
-    own = cascade.corpus(docs, fuzzy=True)
-    queries = spark.createDataFrame([("q", "gazi üni. istatistik böl."), ("t", "gazi kimya tezsiz")], "query_id string, text string")
-    got = cascade.resolve(queries, own, 4)
-    parents, subunits = got.parents.collect(), got.subunits.collect()
-    first = {r.query_id: r for r in parents if r.position == 1}
-    assert first["q"].id == "1" and first["q"].token_set_ratio == 100.0 and first["q"].bm25_norm == 1.0
-    assert all(0 <= r.bm25_norm <= 1 and (r.cosine is None or -1.001 <= r.cosine <= 1.001) for r in [*parents, *subunits])
-    tops = {r.query_id: r for r in subunits if r.position == 1}
-    assert tops["q"].id == "1" and tops["q"].passed_parent_filter
-    assert {r.qualifier_conflict for r in subunits if r.query_id == "t" and r.id == "3"} == {True}
-    order = sorted((r.position, not r.passed_parent_filter) for r in subunits if r.query_id == "q")
-    assert [o[1] for o in order] == sorted(o[1] for o in order)
-    decided = {r.query_id: r for r in decisions.gate(queries, got.parents, got.subunits).collect()}
-    assert decided["q"].id == "1" and decided["q"].decision in ("auto_match", "ambiguous", "review")
-
-
 def test_gate_and_validators(spark):
     queries = spark.createDataFrame([(k, "Gazi Üniversitesi") for k in "abcd"] + [("e", "GAZI")], "query_id string, text string")
     rows = [("a", "1", 100.0, 1.0, False, 1), ("a", "2", 60.0, 0.5, False, 2), ("b", "1", 40.0, 1.0, False, 1), ("c", "1", 100.0, 1.0, False, 1), ("c", "2", 99.0, 0.9, False, 2), ("e", "1", 100.0, 1.0, False, 1)]
