@@ -103,7 +103,7 @@ def without_qualifiers(name: Column) -> Column:
 
 def unchained(name: Column, parent_name: Column) -> Column:
     """struct of name, the last part of a comma chain, and hierarchy_context, the parts before it but a first one that is the parent."""
-    parts = F.filter(F.transform(F.split(name, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: p != "")
     middle = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     same = F.lower(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))) == F.lower(F.coalesce(parent_name, F.lit("")))
     context = F.when(same & (F.size(middle) > 0), F.slice(middle, 2, F.greatest(F.size(middle) - 1, F.lit(0)))).otherwise(middle)
@@ -119,7 +119,7 @@ def acronyms(aliases: Column, excluded_source: str | None = None, stop: tuple[st
     """Acronyms among aliases: single capitals words, and lists of them if all parts look like one; no stop words, not of a source."""
     looks = lambda s: s.rlike(r"^(?U)\p{Lu}[\p{Lu}\p{N}&.-]{1,9}$")
     kept = F.filter(aliases, lambda a: F.lit(True) if excluded_source is None else ~a["source"].eqNullSafe(F.lit(excluded_source)))
-    parts = F.transform(kept, lambda a: F.transform(F.split(a["value"], "[,;/]"), F.trim))
+    parts = F.transform(kept, lambda a: F.transform(F.split(a["value"], "[,;/]"), lambda p: F.trim(p)))
     whole = F.filter(parts, lambda p: F.forall(p, looks))
     flat = F.array_distinct(F.flatten(whole))
     return F.filter(flat, lambda s: ~s.isin(list(stop))) if stop else flat
