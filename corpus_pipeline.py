@@ -14,6 +14,8 @@ from affilink.llm.shared import table, written
 
 #: A language's share of a document below which no language is taken as its own.
 LEAST_LANGUAGE = 0.4
+#: Near duplicates share LINK_NUM / LINK_DEN of their runs of LINK_WORDS words or more. op1's 3 words and 0.9 are its query's own.
+LINK_WORDS, LINK_NUM, LINK_DEN = 5, 80, 100
 #: Stands for a null id where ids are joined.
 NO_ID = -(1 << 63)
 
@@ -41,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without a word are groups of their own. An id names a document: of rows that repeat one, one stays.
     """
-    groups = op01_jaccard_join.link_components(docs)
+    groups = op01_jaccard_join.link_components(docs, n=LINK_WORDS, num=LINK_NUM, den=LINK_DEN)
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
     kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(stays, "_id", "left_semi")
     return kept.dropDuplicates(["_id"]).select(docs.columns)

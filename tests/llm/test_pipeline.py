@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 import corpus_pipeline
@@ -36,6 +38,25 @@ def test_the_rows_of_a_run(spark):
         assert sum(p.length for p in by_doc[doc_id, len(ids)]) == len(ids)
 
 
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(100, 111))]
+        # scattered edits, and a text that is longer by 15 %
+        edited = list(words)
+        for i in (20, 60):
+            edited[i] = "edit"
+        longer = words + [f"v{rng.randrange(9000)}" for _ in range(len(words) * 15 // 100)]
+        for text in (words, edited, longer):
+            rows.append((len(rows), " ".join(text)))
+    groups = {d: c for d, _, c in brute_force(rows, n=5, num=80, den=100)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert kept == [d for d, _ in rows if groups[d] == d]
+    assert len(kept) == 12 < len(set(c for _, _, c in brute_force(rows)))
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
