@@ -172,8 +172,9 @@ def keys_of(s: np.ndarray, plan: list[Band], least: np.ndarray, num: int, den: i
 
 
 def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class_key, keys of docs (doc_id, text)."""
+    """doc_id, n_shingles, class_key, keys of docs (doc_id, text, ...) and docs' further columns."""
     plan = bands(crowds(docs), num, den)
+    more = docs.schema.fields[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.array([b.least for b in plan])
@@ -187,9 +188,10 @@ def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 keys.append(keys_of(s, plan, least, num, den))
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "n_shingles", "class_key", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *batch.columns[2:]], ["doc_id", "n_shingles", "class_key", "keys", *(f.name for f in more)])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, class_key long, keys array<long>")
+    schema = ", ".join(["doc_id long, n_shingles long, class_key long, keys array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary"), *(f.name for f in more)).mapInArrow(run, schema)
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
@@ -249,11 +251,14 @@ def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den: int = LEAST_DEN) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, class_key."""
+def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den: int = LEAST_DEN, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, class_key, component, and docs' columns more.
+
+    component is a class_key that the classes of a component share, with or without ids.
+    """
     spark = docs.sparkSession
+    index, index_path = written(spark, indexed(docs.select("doc_id", "text", *more), n, num, den), "jaccard-index")
     docs = docs.select("doc_id", "text")
-    index, index_path = written(spark, indexed(docs, n, num, den), "jaccard-index")
     rows = index.select("class_key", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low <> high")
     # a class appears in a bucket once, however many copies it has
@@ -302,10 +307,10 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
     named = classes.join(labels.withColumnRenamed("node", "class_key"), "class_key", "left")
     named = named.withColumn("component", F.coalesce("component", "class_key"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class, class_path = written(spark, named.join(ids, "component").select("class_key", "component_id"), "jaccard-classes")
+    by_class, class_path = written(spark, named.join(ids, "component").select("class_key", "component_id", "component"), "jaccard-classes")
     dropped(spark, *paths, labels_path)
-    out = index.select("doc_id", "n_shingles", "class_key").join(by_class, "class_key")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key")
+    out = index.select("doc_id", "n_shingles", "class_key", *more).join(by_class, "class_key")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key", "component", *more)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

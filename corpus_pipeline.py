@@ -16,8 +16,6 @@ from affilink.llm.shared import table, written
 LEAST_LANGUAGE = 0.4
 #: Near duplicates share LINK_NUM / LINK_DEN of their runs of LINK_WORDS words or more. op1's 3 words and 0.9 are its query's own.
 LINK_WORDS, LINK_NUM, LINK_DEN = 5, 80, 100
-#: Stands for a null id where ids are joined.
-NO_ID = -(1 << 63)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +37,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of linked documents.
+    """Keeps one document of each group of linked ones: that of the smallest id, nulls last, then of the smallest text hash.
 
-    Documents without a word are groups of their own. An id names a document: of rows that repeat one, one stays.
+    Rows alike in id and text are one document. Rows that share an id but not a text, or have no id, are judged by their texts.
+    Documents without a word are groups of their own, and so is each row without a word and an id.
     """
-    groups = op01_jaccard_join.link_components(docs, n=LINK_WORDS, num=LINK_NUM, den=LINK_DEN)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(stays, "_id", "left_semi")
-    return kept.dropDuplicates(["_id"]).select(docs.columns)
+    keys = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")]
+    groups = op01_jaccard_join.link_components(docs.withColumn("_hash", keys[1]), n=LINK_WORDS, num=LINK_NUM, den=LINK_DEN, more=("_hash",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("first")
+    linked = groups.filter("n_shingles > 0").groupBy("component").agg(first).select("first.doc_id", "first._hash", F.lit(False).alias("_each"))
+    empty = groups.filter("n_shingles = 0").select("doc_id", "_hash", F.col("doc_id").isNull().alias("_each")).distinct()
+    stays = linked.unionByName(empty).select(F.col("doc_id").alias("_stay_id"), F.col("_hash").alias("_stay_hash"), "_each")
+    rows = docs.select("*", *keys)
+    kept = rows.join(stays, F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_hash") == F.col("_stay_hash")))
+    own = F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    return kept.withColumn("_own", own).dropDuplicates(["_id", "_hash", "_own"]).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,20 @@ def test_near_copies_of_five_words_and_four_fifths_go(spark):
     assert len(kept) == 12 < len(set(c for _, _, c in brute_force(rows)))
 
 
+def test_each_group_keeps_one_row_with_or_without_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    near = lambda k: text(k) + " end"
+    # groups 0 to 2 have no id, one of 0's rows is a near copy; 3 has ids and none; 4 and 5 share id 7, and 5 has 6 too
+    rows = [(None, text(0)), (None, near(0)), (None, text(0)), (None, text(1)), (None, text(2)), (None, text(2))]
+    rows += [(None, text(3)), (3, near(3)), (7, text(4)), (7, text(5)), (6, near(5)), (7, text(4)), (None, ""), (None, ""), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    alone = [t for d, t in kept if d is None and t and t.startswith("t0")]
+    assert len(alone) == 1 and alone[0] in (text(0), near(0))
+    expected = [(None, alone[0]), (None, text(1)), (None, text(2)), (3, near(3)), (7, text(4)), (6, near(5)), (None, ""), (None, ""), (8, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
