@@ -339,14 +339,15 @@ def edge_ngram_prefix(spark, sf):
 
 
 def _part_queries(spark, sf):
-    """A brand and a name, each pair once."""
+    """A brand and a name, each pair of the whole table once, by its smallest part."""
     text = F.concat_ws(" ", F.replace("p_brand", F.lit("#"), F.lit(" ")), "p_name")
-    return _t(spark, sf, "nation").select(F.col("n_nationkey").alias("p_partkey")).join(_t(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("query_id"), text.alias("text"))
+    pairs = _t(spark, sf, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return pairs.select(F.col("p_partkey").cast("string").alias("query_id"), text.alias("text"))
 
 
 @query()
 def hybrid_search(spark, sf):
-    own = cascade.corpus(_part_docs(spark, sf), fuzzy=False)
+    own = cascade.corpus(_part_docs(spark, sf))
     return cascade.pool(_part_queries(spark, sf), own, "subunit").select("query_id", "rank", "doc_key", F.round("cosine", 5).alias("cosine"))
 
 
@@ -354,7 +355,7 @@ def hybrid_search(spark, sf):
 def decompose_hypotheses(spark, sf):
     docs = _part_docs(spark, sf)
     index = lexical.build_index(docs)
-    search = lambda texts, size: lexical.search(texts, index, "parent", size, False).select("query_id", "rank", F.substring_index("doc_key", ":", -1).alias("id"))
+    search = lambda texts, size: lexical.search(texts, index, "parent", size).select("query_id", "rank", F.substring_index("doc_key", ":", -1).alias("id"))
     return decompose.hypotheses(_part_queries(spark, sf), docs.filter("record_type = 'parent'").select("id", "name", "aliases"), search)
 
 

@@ -168,3 +168,13 @@ def test_batches_and_names(spark):
     assert {r.id: r.a for r in parents.select("id", decisions.acronyms(F.col("aliases"), "x").alias("a")).collect()}["10"] == ["BB", "CC"]
     got = decisions.profile(parents, label="country")
     assert {r["rows"]: r.names for r in got["shared_names"].collect()} == {1: 2, 2: 1} and {r.country: r["rows"] for r in got["labels"].collect()} == {"TR": 3, "DE": 1}
+
+
+def test_part_queries_are_all_pairs_of_the_table(spark):
+    from affilink.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", "p_name").distinct().collect()
+    rows = queries._part_queries(spark, sf).collect()
+    assert len({r.query_id for r in rows}) == len(rows)
+    assert sorted(r.text for r in rows) == sorted(f"{p.p_brand.replace('#', ' ')} {p.p_name}" for p in part)
