@@ -157,5 +157,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"))
+    """Digests of the ids and of the text that they decode to."""
+    rows, _ = written(spark, encode(table(spark, sf_dir, "documents")), "pieces-encoded")
+    ids = [F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32")]
+    return decode(rows).select("doc_id", "n_words", *ids, F.length("text").cast("long").alias("text_length"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

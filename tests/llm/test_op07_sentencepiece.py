@@ -57,3 +57,12 @@ def test_query_over_the_whole_table(spark, library):
     for r in rows:
         ids = library.encode(texts[r.doc_id] or "")
         assert (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(" ".join(map(str, ids)).encode()))
+
+
+def test_query_decodes_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").replace("▁", " ") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pieces.op7_sentencepiece(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert (r.text_length, r.text_crc32) == (len(texts[r.doc_id]), zlib.crc32(texts[r.doc_id].encode())), r.doc_id
