@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affilink.llm.components import connected
-from affilink.llm.shared import dropped, table, written
+from affilink.llm.shared import dropped, sliced, table, written
+from affilink.llm.subwords import mixed
 
 NGRAM = 3
 LEAST_NUM, LEAST_DEN = 90, 100
@@ -53,11 +54,11 @@ PAIR_COST = 4.0
 STAR_ROUNDS = 2
 #: 64-bit words of a set's odd sketch.
 SKETCH_WORDS = 8
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
+#: Documents whose sets and keys a worker holds at once.
+ROWS_AT_ONCE = 512
 _NO_ID = -(1 << 63)
 
-_words: dict[bytes, int] = {}
-
 
 @dataclass(frozen=True)
 class Band:
@@ -110,13 +111,6 @@ def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, rat
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers whose bits depend on all bits of x."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _Memo(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -179,7 +173,7 @@ def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.array([b.least for b in plan])
         memo = _Memo()
-        for batch in batches:
+        for batch in sliced(batches, ROWS_AT_ONCE):
             sizes, classes, keys = [], [], []
             for text in batch.column(1):
                 s = ngram_set(text.as_py(), n, memo)
@@ -207,7 +201,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
-        for batch in batches:
+        for batch in sliced(batches, ROWS_AT_ONCE):
             sets = [ngram_set(text.as_py(), n, memo) for text in batch.column(0)]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)

@@ -6,7 +6,7 @@ index has each block's number of ids and the place of each plane, so that a read
 document index has each document's first id. Images are the rows of a Parquet table in the shared folder: Spark's commit
 protocol makes each appear once, whatever executor is lost, and any store serves. export_images() turns them into files.
 
-Documents are written in ascending doc_id order (null first, then by text) by a range partitioning. Null texts hold the
+Documents are written in ascending doc_id order (null first, then by a hash of the text) by a range partitioning. Null texts hold the
 end id only. Repeated rows are kept. An empty table gives no images. Other columns are not read.
 """
 
@@ -29,6 +29,7 @@ IMAGE_IDS = 1 << 20
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 ZSTD_LEVEL = 1
+PARTITION_BYTES = 64 << 20
 _HEADER = struct.Struct("<8sB3xI")
 _FOOTER = struct.Struct("<QQQQ8s")
 _NO_ID = -(1 << 63)
@@ -108,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, file_no, image_no = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        file_no, image_no = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         held: list[bytes] = []
         tokens = 0
@@ -117,23 +118,33 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
             image = write_image(names, held, bits)
             return pa.RecordBatch.from_pylist([{"file_no": file_no, "image_no": image_no, "n_docs": len(names), "n_tokens": tokens, "image": image}], schema=pa.schema([("file_no", pa.int64()), ("image_no", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("image", pa.binary())]))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names.append(doc_id)
-                held.append(enc.encode(text.as_py()) + end)
-                tokens += len(held[-1]) // 4
-                if tokens >= image_ids:
-                    yield emptied()
-                    names, held, tokens, image_no = [], [], 0, image_no + 1
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    names.append(doc_id)
+                    held.append(enc.encode(text.as_py()) + end)
+                    tokens += len(held[-1]) // 4
+                    if tokens >= image_ids:
+                        yield emptied()
+                        names, held, tokens, image_no = [], [], 0, image_no + 1
         if held:
             yield emptied()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    # an id that many rows share, or null, is split by its texts, and a text by its rows
+    order = ["doc_id", "_hash", "_row"]
+    rows = rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(run, "file_no long, image_no long, n_docs long, n_tokens long, image binary").write.option("compression", "none").parquet(path)
 
 
+def partitions_for(docs: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
+    """The session's shuffle partitions, or more where they would hold over bytes_each of the files read, as Spark estimates them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = 0  # what Spark says where it doesn't know
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // bytes_each)))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of token files: doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit).
 

@@ -103,7 +103,6 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
         next_sequence = TaskContext.get().partitionId() << 40
         ids: list[int | None] = []
         held: list[bytes] = []
@@ -125,13 +124,14 @@ def pack(
             tokens = 0
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc_id)
-                held.append(enc.encode(text.as_py()) + end)
-                tokens += len(held[-1]) // 4
-                if tokens >= group_tokens:
-                    yield emptied()
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids.append(doc_id)
+                    held.append(enc.encode(text.as_py()) + end)
+                    tokens += len(held[-1]) // 4
+                    if tokens >= group_tokens:
+                        yield emptied()
         if held:
             yield emptied()
 

@@ -4,19 +4,20 @@ Each word is labelled with a language; emissions come from hashed features of th
 character n-grams, and a lexicon's votes), transitions are learned. Training sequences are windows of labelled
 documents and code-switched mixtures of them, so that the transitions know both staying and switching. Forward-backward
 gives each word's probabilities; a document's language is the one with the largest sum over its words, its score that
-sum's share. Emissions of a word don't depend on its neighbours, so a worker keeps them by word; the chain runs over
-all documents of a block at once, a step a word.
-
-Words are runs of non-space characters, lower-cased; those without a letter say nothing and are left out. und, with
-score 0, if the text is null or has no letter, or nothing could be learned. Training takes about DOCS_PER_LABEL
-documents of each label, whole texts, at most twice as many; WINDOWS_PER_DOC windows are drawn anywhere in each. A null
-doc_id is not held out and is not learned from. Repeated rows are labelled each. An empty table gives no rows.
+sum's share. Emissions of a word don't depend on its neighbours, so a worker keeps them by word, in a bounded number of
+bytes, and makes those of many new words at once; the chain runs over all documents of a block at once, a step a word.
+
+Words are runs of non-space characters, lower-cased, of any length, read whole; those without a letter (Unicode category
+L) say nothing and are left out. und, with score 0, if the text is null or has no letter, or nothing could be learned. Of
+languages with equal sums the first by name is taken. Training takes about DOCS_PER_LABEL documents of each label, whole
+texts, at most twice as many; WINDOWS_PER_DOC windows are drawn anywhere in each. A null doc_id is not held out and is not
+learned from. Repeated rows are labelled each. An empty table gives no rows. Columns lang_pred and score are replaced,
+others stay.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from affilink.llm.samples import remainder, sampled
 from affilink.llm.shared import table
+from affilink.llm.subwords import Kept, Words, blocks
 
 DOCS_PER_LABEL = 250
 WINDOWS_PER_DOC = 4
@@ -36,10 +38,9 @@ BUCKETS = 1 << 15
 BATCH = 32
 RATE = 0.3
 FOLDS, HELD_OUT = 3, 1
-MEMO_WORDS = 800_000
-BLOCK_WORDS = 1 << 21
+BLOCK_CHARACTERS = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -48,20 +49,28 @@ def plain(run: str) -> str:
     return _EDGES.sub("", run.lower())
 
 
-def features(w: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of a plain() word's features."""
-    if len(w) > 40:
-        w = w[:20] + w[-20:]  # features lie at the ends; a run this long is no word
-    padded = f"<{w}>"
-    names = [f"w{w}", f"v{lexicon.get(w, -1)}"]
-    names += [f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)]
-    names += [f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]
-    names += [f"g{padded[i : i + n]}" for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+def has_letter(run: str) -> bool:
+    return bool(_ASCII_LETTER.search(run)) or any(map(str.isalpha, run))
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of plain() words' features, and whose they are."""
+    own = Words(words)
+    everyone = np.arange(len(words))
+    yield (own.whole() % np.uint64(BUCKETS)).astype(np.int64), everyone
+    votes = np.fromiter((lexicon.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    yield (votes + 1) * 7919 % BUCKETS, everyone
+    for k in range(1, 5):
+        for end in (False, True):
+            h, owner = own.edges(k, end)
+            yield (h % np.uint64(BUCKETS)).astype(np.int64), owner
+    for n in (2, 3, 4):
+        for h, owner in own.ngrams(n):
+            yield (h % np.uint64(BUCKETS)).astype(np.int64), owner
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in text.split() if _LETTER.search(w)] if text else []
+    return [w for w in text.split() if has_letter(w)] if text else []
 
 
 def lexicon_of(docs: list[tuple[list[str], int]], n_labels: int) -> dict[str, int]:
@@ -108,8 +117,15 @@ class Model:
         self.transitions = np.zeros((n, n))
         self.start = np.zeros(n)
 
-    def emission(self, run: str) -> np.ndarray:
-        return self.weights[features(plain(run), self.lexicon)].sum(0)
+    def emissions(self, runs: list[str]) -> np.ndarray:
+        """(run, label) of runs."""
+        out = np.zeros((len(runs), len(self.labels)))
+        for buckets, owner in features([plain(r) for r in runs], self.lexicon):
+            first = int(owner[0]) if len(owner) else 0
+            last = int(owner[-1]) + 1 if len(owner) else 0
+            for label in range(len(self.labels)):
+                out[first:last, label] += np.bincount(owner - first, self.weights[buckets, label], last - first)
+        return out.astype(np.float32)
 
     def fit(self, docs: list[tuple[list[str], int]], seed: int = 0) -> Model:
         """Stochastic gradient ascent (with per-weight step sizes) of the chains' conditional log-likelihood."""
@@ -122,14 +138,13 @@ class Model:
                 part = words[at : at + WINDOW]
                 windows.append((([*part] * WINDOW)[:WINDOW], label))
         ids: dict[str, int] = {}
-        flat, bounds = [], [0]
         for words, _ in windows:
             for w in words:
-                if w not in ids:
-                    ids[w] = len(ids)
-                    flat += features(plain(w), self.lexicon)
-                    bounds.append(len(flat))
-        flat, bounds = np.array(flat, dtype=np.int64), np.array(bounds)
+                ids.setdefault(w, len(ids))
+        parts = list(features([plain(w) for w in ids], self.lexicon))
+        owners = np.concatenate([o for _, o in parts])
+        order = np.argsort(owners, kind="stable")
+        flat, bounds = np.concatenate([b for b, _ in parts])[order], np.searchsorted(owners[order], np.arange(len(ids) + 1))
         x = np.array([[ids[w] for w in words] for words, _ in windows]).reshape(-1, WINDOW)
         y = np.array([[label] * WINDOW for _, label in windows]).reshape(-1, WINDOW)
         squares = np.full(self.weights.shape, 1e-2, dtype=np.float32)
@@ -169,44 +184,30 @@ class Model:
 
 
 class Labeller:
-    """A worker's side: keeps emissions by word, and the words of runs; -1 stands for runs without a letter."""
+    """A worker's side: keeps emissions by run of characters, and whether it has a letter."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        class Memo(dict):
-            def __missing__(memo, run: str) -> int:  # noqa: N805
-                if not _LETTER.search(run):
-                    at = -1
-                elif (at := self.words.get(word := plain(run))) is None:
-                    at = self.words[word] = self.known
-                    if at == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[at] = self.model.weights[features(word, self.model.lexicon)].sum(0)
-                    self.known += 1
-                if len(run) <= 64:
-                    memo[run] = at
-                return at
-
-        self.memo, self.words, self.known = Memo(), {}, 0
-        self.table = np.zeros((1024, len(self.model.labels)), dtype=np.float32)
-
-    def probabilities(self, texts: list[str | None]) -> list[np.ndarray]:
-        """(words, labels) for each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.clear()
-        runs = [np.fromiter(map(self.memo.__getitem__, t.split()), dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
-        rows = [r[r >= 0] for r in runs]
-        order = np.argsort([-len(r) for r in rows], kind="stable")
-        lengths = np.array([len(rows[i]) for i in order])
-        n, labels = int(np.count_nonzero(lengths)), len(self.model.labels)
+        self.kept = Kept(lambda runs: [model.emissions(runs), np.fromiter(map(has_letter, runs), dtype=bool, count=len(runs))])
+
+    def chained(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' probabilities, longest texts first, where each such text starts, and the texts' order; texts without words come last."""
+        runs = [t.split() if t else [] for t in texts]
+        at = self.kept.numbers([r for own in runs for r in own])
+        owner = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
+        labels = len(self.model.labels)
+        if len(at):
+            words = self.kept.columns[1][at]
+            at, owner = at[words], owner[words]
+        counts = np.bincount(owner, minlength=len(texts))
+        order = np.argsort(-counts, kind="stable")
+        n = int(np.count_nonzero(counts))
+        lengths = counts[order[:n]]
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         if not n:
-            return [np.zeros((0, labels))] * len(texts)
-        lengths = lengths[:n]
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        e = self.table[np.concatenate([rows[i] for i in order[:n]])]
+            return np.zeros((0, labels), dtype=np.float32), first, order
+        before = np.cumsum(counts) - counts
+        e = self.kept.columns[0][at[np.repeat(before[order[:n]] - first[:n], lengths) + np.arange(first[-1])]]
         e = np.exp(e - e.max(1, keepdims=True))
         t = np.exp(self.model.transitions).astype(np.float32)
         steps = int(lengths[0])
@@ -228,22 +229,26 @@ class Labeller:
             forward[at] = p / p.sum(1, keepdims=True)
             back = (e[at] * b[:m]) @ t.T
             b[:m] = back / back.sum(1, keepdims=True)
-        out = [np.zeros((0, labels))] * len(texts)
-        for k, i in enumerate(order[:n].tolist()):
-            out[i] = forward[first[k] : first[k + 1]]
+        return forward, first, order
+
+    def probabilities(self, texts: list[str | None]) -> list[np.ndarray]:
+        """(words, labels) for each text."""
+        p, first, order = self.chained(texts)
+        out = [np.zeros((0, len(self.model.labels)), dtype=np.float32)] * len(texts)
+        for k, i in enumerate(order[: len(first) - 1].tolist()):
+            out[i] = p[first[k] : first[k + 1]]
         return out
 
     def document(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for p in self.probabilities(texts):
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for block in blocks([len(t) if t else 0 for t in texts], BLOCK_CHARACTERS):
+            p, first, order = self.chained([texts[i] for i in block])
             if not len(p):
-                names.append(UNKNOWN)
-                scores.append(0.0)
                 continue
-            mean = p.mean(0, dtype=np.float64)
-            best = int(mean.argmax())
-            names.append(self.model.labels[best])
-            scores.append(float(min(1.0, mean[best])))
+            mean = np.add.reduceat(p, first[:-1], axis=0, dtype=np.float64) / np.diff(first)[:, None]
+            best = mean.argmax(1)
+            for k, (i, label) in enumerate(zip(order.tolist(), best.tolist())):
+                names[block[i]], scores[block[i]] = self.model.labels[label], float(min(1.0, mean[k, label]))
         return names, scores
 
 
@@ -259,19 +264,6 @@ def train(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model | None
     return Model(labels, lexicon_of(known, len(labels))).fit(known)
 
 
-def blocks(texts: list[str | None], most: int) -> Iterator[slice]:
-    """Runs of texts of about most words at once (by characters)."""
-    first = held = 0
-    for k, t in enumerate(texts):
-        n = len(t) // 5 if t else 0
-        if k > first and held + n > most:
-            yield slice(first, k)
-            first, held = k, 0
-        held += n
-    if first < len(texts):
-        yield slice(first, len(texts))
-
-
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced)."""
     if model is None:
@@ -282,11 +274,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(held.value)
         for texts in batches:
-            texts, names, scores = texts.tolist(), [], []
-            for block in blocks(texts, BLOCK_WORDS):
-                a, b = labeller.document(texts[block])
-                names += a
-                scores += b
+            names, scores = labeller.document(texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     out = docs.withColumn("_language", predicted(docs["text"]))

@@ -15,11 +15,12 @@ def sampled(rows: DataFrame, label: str, per_label: int) -> list:
     """About per_label rows of each label (all where there are fewer), at most twice as many: those whose id hashes low.
 
     rows: doc_id, text and the label, none null. The labels' counts come first, from narrow columns, so that the texts of
-    the sampled rows alone are read to the driver.
+    the sampled rows alone are read to the driver. A number for each label comes to the driver: a model has a column for each.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(1000).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return []
-    share = F.coalesce(*(F.when(F.col(label) == k, F.lit(min(1.0, per_label / n))) for k, n in counts.items()))
+    shares = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_label / n))))
+    share = F.element_at(shares, F.col(label))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return sorted(rows.filter(drawn < share).select("doc_id", "text", label).limit(2 * per_label * len(counts)).collect(), key=lambda r: (r[0], r[1]))

@@ -13,13 +13,17 @@ go to the library's model alone, which takes a fifth of the time.
 from __future__ import annotations
 
 import array
+import contextlib
 import json
 import re
 import sys
+from collections.abc import Iterator
 
 from affilink.llm.shared import vocabulary_path
 
-MEMO_RUNS = 400_000
+#: What the memo may take: a run counts its own bytes, its ids' and ENTRY_BYTES.
+MEMO_BYTES = 48 << 20
+ENTRY_BYTES = 190
 LONGEST_KEPT = 64
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -40,25 +44,30 @@ def byte_letters() -> dict[int, str]:
 class _Memo(dict):
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, run: str) -> bytes:
         ids = self.encode(run)
         if len(run) <= LONGEST_KEPT:
             self[run] = ids
+            self.held += len(run) + len(ids) + ENTRY_BYTES
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class RunEncoder:
     """encode(text): the ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: str, memo_runs: int = MEMO_RUNS):
+    def __init__(self, vocabulary: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo_runs = memo_runs
+        self.memo_bytes = memo_bytes
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         rules = json.loads(self.tokenizer.to_str())
@@ -89,13 +98,17 @@ class RunEncoder:
             return b""
         if _ODD_SPACE.search(text):
             return self.whole(text)
-        if len(self.memo) > self.memo_runs:
+        if self.memo.held > self.memo_bytes:
             self.memo.clear()
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
-def encoder(vocabulary: str) -> RunEncoder:
-    """One encoder a worker and vocabulary."""
+@contextlib.contextmanager
+def encoder(vocabulary: str) -> Iterator[RunEncoder]:
+    """One encoder a worker and vocabulary; its memo ends with its use, so that a reused worker is small again."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = RunEncoder(vocabulary)
-    return _encoders[vocabulary]
+    try:
+        yield _encoders[vocabulary]
+    finally:
+        _encoders[vocabulary].memo.clear()

@@ -40,7 +40,7 @@ def test_runs_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     alphabet = "ab'sre.,!1 23\n\t éÉßñ́  \x1d\x85İΣς中🙂<|endoftext|>"
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(1500)]
-    enc = RunEncoder(VOCABULARY, memo_runs=50)
+    enc = RunEncoder(VOCABULARY, memo_bytes=10_000)
     assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == [x[:-1] for x in library(texts)]
 
 
