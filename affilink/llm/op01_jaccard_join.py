@@ -10,6 +10,11 @@ H + 1 units for its largest pairs, so by the pigeonhole principle each linked pa
 are of the second kind is chosen by cost: rows written, and pairs that meet by chance since a small set leaves segments
 (nearly) empty. A set is indexed in its own band, and in the band below if a smaller partner could be there.
 
+Only one document of a class is indexed. Its keys aren't rows: a task sorts those of its classes, deals them into ranges and
+packs each range's keys (as differences) and classes (as numbers) into a blob, a few bytes a key. The task of a range opens its
+blobs, one sort finds the keys that several classes share (the buckets), and of buckets with the same classes one stays.
+Keys have KEY_BITS bits, more where the corpus has more keys; two that fall together by chance cost a check, no link.
+
 Classes that meet under one key (a bucket) aren't all paired. Each is checked against the bucket's smallest and largest
 class, and the links give components. Classes in buckets of several components remain; among them linked pairs of
 different components are sought. There elements are ordered from rare to common. What stands in a set before its first
@@ -39,14 +44,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affilink.llm.components import connected
-from affilink.llm.shared import dropped, sliced, table, written
+from affilink.llm.shared import broadcast_if_few, dropped, partitions_for, sliced, table, written
 from affilink.llm.subwords import mixed
 
 NGRAM = 3
 LEAST_NUM, LEAST_DEN = 90, 100
-BAND_RATIO = 1.25
-#: Bytes of text a word, where sizes of sets are estimated for the cost alone.
-WORD_BYTES = 6.2
+BAND_RATIO = 1.4
 LARGEST_SET = 1 << 34
 #: What a pair that meets by chance costs, in rows of the index.
 PAIR_COST = 4.0
@@ -57,7 +60,11 @@ SKETCH_WORDS = 8
 MEMO_WORDS = 200_000
 #: Documents whose sets and keys a worker holds at once.
 ROWS_AT_ONCE = 512
-_NO_ID = -(1 << 63)
+#: Index keys of a task's blobs, and the bits of a key: KEY_BITS at least, and SPARE_BITS more than count the keys.
+BLOB_KEYS = 1 << 20
+KEY_BITS, SPARE_BITS = 40, 7
+#: Bytes of files whose keys make a range.
+RANGE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -77,10 +84,9 @@ def difference(r: int, s: int, num: int, den: int) -> int:
     return (r + s) * (den - num) // (den + num)
 
 
-def crowds(docs: DataFrame) -> dict[int, int]:
-    """Documents by their estimated set size, as powers of BAND_RATIO; at most some hundred."""
-    size = F.greatest(F.lit(1.0), F.octet_length("text") / WORD_BYTES)
-    return {r[0]: r[1] for r in docs.filter("text is not null").groupBy(F.floor(F.log(size) / float(np.log(BAND_RATIO))).cast("long")).count().collect()}
+def crowds(classes: DataFrame) -> dict[int, int]:
+    """Classes by their size, as powers of BAND_RATIO; at most some hundred."""
+    return {r[0]: r[1] for r in classes.filter("size > 0").groupBy(F.floor(F.log("size") / float(np.log(BAND_RATIO))).cast("long")).count().collect()}
 
 
 def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float = BAND_RATIO) -> list[Band]:
@@ -165,27 +171,123 @@ def keys_of(s: np.ndarray, plan: list[Band], least: np.ndarray, num: int, den: i
     return np.concatenate(out).view(np.int64)
 
 
-def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class_key, keys of docs (doc_id, text, ...) and docs' further columns."""
-    plan = bands(crowds(docs), num, den)
+def classed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, class_key, text_hash of docs (doc_id, text, ...) and docs' further columns."""
     more = docs.schema.fields[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = np.array([b.least for b in plan])
         memo = _Memo()
         for batch in sliced(batches, ROWS_AT_ONCE):
-            sizes, classes, keys = [], [], []
-            for text in batch.column(1):
-                s = ngram_set(text.as_py(), n, memo)
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                keys.append(keys_of(s, plan, least, num, den))
-            offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *batch.columns[2:]], ["doc_id", "n_shingles", "class_key", "keys", *(f.name for f in more)])
+            sets = [ngram_set(text.as_py(), n, memo) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), *batch.columns[2:]], ["doc_id", "n_shingles", "class_key", "text_hash", *(f.name for f in more)])
+
+    schema = ", ".join(["doc_id long, n_shingles long, class_key long, text_hash long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary"), F.xxhash64("text").alias("text_hash"), *(f.name for f in more)).mapInArrow(run, schema)
+
+
+def packed(keys: np.ndarray, classes: np.ndarray) -> bytes:
+    """A blob of sorted keys with their classes: their number, the least class, and the bytes of differences by planes."""
+    import zstandard
+
+    least = int(classes.min())
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in (np.diff(keys, prepend=np.uint64(0)), (classes - least).view(np.uint64))]
+    return np.array([len(keys), least], dtype="<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n, least = np.frombuffer(blob, dtype="<i8", count=2).tolist()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16:]), dtype=np.uint8).reshape(2, 8, n)
+    deltas, classes = (np.ascontiguousarray(p.T).view(np.uint64).reshape(-1) for p in planes)
+    return np.cumsum(deltas, dtype=np.uint64), classes.view(np.int64) + least
+
 
-    schema = ", ".join(["doc_id long, n_shingles long, class_key long, keys array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary"), *(f.name for f in more)).mapInArrow(run, schema)
+def blobs(chosen: DataFrame, plan: list[Band], n: int, num: int, den: int, bits: int, ranges: int) -> DataFrame:
+    """range and blob of the index keys of chosen (text, class_no)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.array([b.least for b in plan])
+        memo = _Memo()
+        keys: list[np.ndarray] = []
+        classes: list[np.ndarray] = []
+        held = 0
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            k, c = np.concatenate(keys), np.concatenate(classes)
+            order = np.argsort(k)
+            k, c = k[order], c[order]
+            bounds = np.searchsorted(k * np.uint64(ranges) >> np.uint64(bits), np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
+                inside = slice(int(bounds[r]), int(bounds[r + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed(k[inside], c[inside])], pa.binary())], ["range", "blob"])
+            keys.clear()
+            classes.clear()
+            held = 0
+
+        for batch in batches:
+            for text, number in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = keys_of(ngram_set(text.as_py(), n, memo), plan, least, num, den).view(np.uint64) >> np.uint64(64 - bits)
+                keys.append(own)
+                classes.append(np.full(len(own), number, dtype=np.int64))
+                held += len(own)
+                if held >= BLOB_KEYS:
+                    yield from emptied()
+        if held:
+            yield from emptied()
+
+    return chosen.select(chosen["text"].cast("binary"), "class_no").mapInArrow(run, "range int, blob binary")
+
+
+def shared_keys(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, class_no, low, high of the classes that share a key, of keys with the same classes once; key tells the classes."""
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
+    keys, classes = keys[new], classes[new]
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    many = sizes > 1
+    starts, sizes = starts[many], sizes[many]
+    if not len(starts):
+        return (np.zeros(0, dtype=np.int64),) * 4
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    classes = classes[at]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    name = mixed(np.add.reduceat(mixed(classes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first) + sizes.astype(np.uint64))
+    _, one = np.unique(name, return_index=True)
+    kept = np.zeros(len(name), dtype=bool)
+    kept[one] = True
+    low, high = classes[first], classes[first + sizes - 1]
+    rows = np.repeat(kept, sizes)
+    return np.repeat(name.view(np.int64), sizes)[rows], classes[rows], np.repeat(low, sizes)[rows], np.repeat(high, sizes)[rows]
+
+
+def bucketed(packed_: DataFrame, ranges: int) -> DataFrame:
+    """key, class_key, low, high: the classes (by number) of each bucket, and its smallest and largest."""
+    names = ["key", "class_key", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = None, []
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            if parts:
+                found = shared_keys(*map(np.concatenate, zip(*parts)))
+                parts.clear()
+                yield from sliced([pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)], 1 << 16)
+
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if number != own:
+                    yield from emptied()
+                    own = number
+                parts.append(opened(blob.as_py()))
+        yield from emptied()
+
+    dealt = packed_.repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
@@ -196,8 +298,8 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 _SKETCH = [f"odd{k}" for k in range(SKETCH_WORDS)]
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """class_key, size, elements and the odd sketch's words of docs (text)."""
+def sets_of(chosen: DataFrame, n: int) -> DataFrame:
+    """class_key, size, elements and the odd sketch's words of chosen (text, class_no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
@@ -206,10 +308,10 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             sketches = np.array([odd_sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH_WORDS)
-            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
+            columns = [batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
             yield pa.RecordBatch.from_arrays(columns, ["class_key", "size", "elements", *_SKETCH])
 
-    return docs.select(docs["text"].cast("binary")).mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return chosen.select(chosen["text"].cast("binary"), "class_no").mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -248,23 +350,31 @@ def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den: int = LEAST_DEN, more: tuple[str, ...] = ()) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, class_key, component, and docs' columns more.
 
-    component is a class_key that the classes of a component share, with or without ids.
+    component is a number that the classes of a component share, with or without ids.
     """
     spark = docs.sparkSession
-    index, index_path = written(spark, indexed(docs.select("doc_id", "text", *more), n, num, den), "jaccard-index")
-    docs = docs.select("doc_id", "text")
-    rows = index.select("class_key", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low <> high")
-    # a class appears in a bucket once, however many copies it has
-    members = rows.join(buckets, "key").groupBy("key", "class_key").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    members, members_path = written(spark, members, "jaccard-buckets")
-    classes = index.groupBy("class_key").agg(F.min("doc_id").alias("first_id"))
+    index, _ = written(spark, classed(docs.select("doc_id", "text", *more), n), "jaccard-index")
+    # one document stands for a class, by its id and text; classes go by numbers from here on
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = index.groupBy("class_key").agg(F.max("n_shingles").alias("size"), F.min("doc_id").alias("first_id"), first)
+    classes, classes_path = written(spark, classes.select("class_key", F.monotonically_increasing_id().alias("class_no"), "size", "first_id", "first.doc_id", "first.text_hash"), "jaccard-reps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
+
+    def documents_of(chosen: DataFrame) -> DataFrame:
+        """text and class_no of chosen classes; a repeated row comes as often as it stands."""
+        few = broadcast_if_few(chosen.select("class_no", "doc_id", "text_hash"))
+        return texts.join(few, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", "class_no")
+
+    plan = bands(crowds(classes), num, den)
+    n_keys = classes.agg(F.sum("size")).first()[0] or 1
+    bits = min(64, max(KEY_BITS, SPARE_BITS + int(n_keys).bit_length()))
+    ranges = partitions_for(docs, RANGE_BYTES)
+    bits = min(bits, 64 - ranges.bit_length())
+    members, members_path = written(spark, bucketed(blobs(documents_of(classes.filter(F.col("size") >= plan[0].least)), plan, n, num, den, bits, ranges), ranges), "jaccard-buckets")
     paths = [members_path]
-
-    wanted = members.select("class_key").distinct().join(classes, "class_key").select(F.coalesce("first_id", F.lit(_NO_ID)).alias("wanted")).distinct()
-    texts = docs.withColumn("wanted", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))).join(wanted, "wanted", "left_semi")
-    # a repeated id or row may bring a set twice
-    sets, sets_path = written(spark, sets_of(texts, n).dropDuplicates(["class_key"]), "jaccard-sets")
+    wanted = classes.join(members.select(F.col("class_key").alias("class_no")).distinct(), "class_no", "left_semi")
+    # a repeated row brings a set twice
+    sets, sets_path = written(spark, sets_of(documents_of(wanted), n).dropDuplicates(["class_key"]), "jaccard-sets")
     paths.append(sets_path)
 
     links = None
@@ -298,11 +408,11 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
         paths.append(left_path)
         if not left.limit(1).count():
             break
-    named = classes.join(labels.withColumnRenamed("node", "class_key"), "class_key", "left")
-    named = named.withColumn("component", F.coalesce("component", "class_key"))
+    named = classes.join(labels.select(F.col("node").alias("class_no"), "component"), "class_no", "left")
+    named = named.withColumn("component", F.coalesce("component", "class_no"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class, class_path = written(spark, named.join(ids, "component").select("class_key", "component_id", "component"), "jaccard-classes")
-    dropped(spark, *paths, labels_path)
+    dropped(spark, *paths, labels_path, classes_path)
     out = index.select("doc_id", "n_shingles", "class_key", *more).join(by_class, "class_key")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key", "component", *more)
 

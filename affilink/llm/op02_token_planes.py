@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affilink.llm.shared import shared_dir, table
+from affilink.llm.shared import partitions_for, shared_dir, table
 from affilink.llm.tokenizing import encoder
 
 MAGIC = b"BITPLNS1"
@@ -133,18 +133,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     # an id that many rows share, or null, is split by its texts, and a text by its rows
     order = ["doc_id", "_hash", "_row"]
-    rows = rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = rows.repartitionByRange(partitions_for(docs, PARTITION_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(run, "file_no long, image_no long, n_docs long, n_tokens long, image binary").write.option("compression", "none").parquet(path)
 
 
-def partitions_for(docs: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
-    """The session's shuffle partitions, or more where they would hold over bytes_each of the files read, as Spark estimates them."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        size = 0  # what Spark says where it doesn't know
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // bytes_each)))
-
-
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of token files: doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit).
 

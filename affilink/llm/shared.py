@@ -9,6 +9,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that may be broadcast, of some 24 bytes each.
+FEW_ROWS = 1 << 18
 
 _own_dirs: dict[str, str] = {}
 
@@ -44,6 +48,19 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def partitions_for(docs: DataFrame, bytes_each: int) -> int:
+    """The session's shuffle partitions, or more where they would hold over bytes_each of the files read, as Spark estimates them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = 0  # what Spark says where it doesn't know
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // bytes_each)))
+
+
+def broadcast_if_few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """rows of a few numbers each, marked for a broadcast if they are counted to be at most so many; else left to a shuffled join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many."""
     for batch in batches:
