@@ -1,33 +1,43 @@
 """SentencePiece encoding and decoding as relations: a lattice of pieces by word, folded with a higher-order aggregate.
 
-Texts are cut into words, the distinct words are exploded into their substrings of up to the longest piece's length, and an
-equi-join with the piece table keeps those that are pieces: the edges of the words' lattices, grouped by word. A fold over a
-word's positions gives its pieces, which go back to the documents by a join on the word. The piece table has the vocabulary's
-size, so it alone is broadcast.
-
-Two folds: viterbi takes the path with the largest sum of scores, as unigram models do. The public model is a byte-pair one: there
-the library merges the best neighbouring pair first, and the path of the largest sum is another one. So for such models merges
-folds the same lattice as the library does: each step joins the two neighbours whose joint edge has the best score, the leftmost
-of equals. Characters without a piece become their UTF-8 bytes' pieces. Words of over LONGEST_WORD characters, whose lattice would
-grow with the square of their length, go to the library in an Arrow UDF.
-
-Null and empty texts have no pieces. Rows alike in id and text are encoded once and returned as often as they come. A null doc_id
-stays null. An empty table gives no rows. Other columns aren't read.
+Texts are dealt out once, by rows, into groups of a bounded size. Within a group, which no later step leaves, texts are cut into
+words; the distinct words are exploded into their substrings of up to the longest piece's length, and an equi-join with the piece
+table keeps those that are pieces: the edges of the words' lattices, grouped by word together with the places where the word
+stands. A fold over a word's edges gives its pieces, which go back to the documents by these places. The piece table has the
+vocabulary's size, so it alone is broadcast. A common word costs a group one lattice, and its places are those of one group only,
+so no key gathers the corpus. Nothing is written beside the one shuffle of the texts.
+
+Two folds. viterbi takes the path with the largest sum of scores, as unigram models do (of equals the longest last piece). The
+public model is a byte-pair one: its library merges the best neighbouring pair first, and its ids are those of another path. So
+merges folds the same lattice as that library does: each step joins the two neighbours whose joint edge has the best score, the
+leftmost of equals. Characters without a piece become their UTF-8 bytes' pieces. Words of any length go this way; the folds' work
+grows with a word's length times its edges.
+
+A word is a run of space signs with the letters, or with the other characters, behind it: no piece reaches over such a cut, which
+pieces() makes sure of.
+
+Null and empty texts have no pieces and decode to an empty text. Rows are encoded each, repeated ones too; equal ids or texts have
+no meaning. A null doc_id stays null. An empty table gives no rows. Other columns aren't read. U+2581 in a text decodes to a space,
+as in the library.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from affilink.llm.shared import table, vocabulary_path, written
+from affilink.llm.shared import partitions_for, table, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
-LONGEST_WORD = 32
 SPACE = "▁"
-_IDS = T.ArrayType(T.IntegerType())
+#: What a character without a piece costs a path.
+UNKNOWN = -1e6
+#: Bytes of files whose texts make a group.
+GROUP_BYTES = 16 << 20
+FOLDS = ("viterbi", "merges")
 
 
 def _processor(model: str):
@@ -40,57 +50,42 @@ def pieces(spark: SparkSession, model: str = MODEL) -> tuple[DataFrame, int, int
     """piece, id, score of a model's text pieces, the longest one's length, and the id of byte 0's piece."""
     own = _processor(model)
     rows = [(own.id_to_piece(i), i, own.get_score(i)) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))]
-    if any(SPACE in p.lstrip(SPACE) for p, _, _ in rows):
-        raise ValueError("a piece reaches over the start of a word")
+    for p, _, _ in rows:
+        cuts = re.sub(f"^{SPACE}+", "", p)
+        if SPACE in cuts or len({c.isalpha() for c in cuts}) > 1:
+            raise ValueError(f"the piece {p!r} reaches over a cut between words")
     return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(p) for p, _, _ in rows), own.piece_to_id("<0x00>")
 
 
 def words(text: Column) -> Column:
-    """Runs of the space sign with the characters behind them; the text gets one in front."""
+    """Space signs with the letters or the other characters behind them; the text gets one sign in front."""
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
-def lattices(distinct: DataFrame, table_: DataFrame, longest: int) -> DataFrame:
-    """word and edges, an array of (start, end, id, score) in order, of distinct words."""
-    n = F.length("word")
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    ends = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + longest))).alias("end"))
-    cut = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)"))
-    found = cut.join(F.broadcast(table_), "piece").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id", "score"))).alias("edges"))
-    none = F.array().cast("array<struct<start:int,end:int,id:int,score:double>>")
-    return distinct.join(found, "word", "left").select("word", F.coalesce("edges", none).alias("edges"))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(rf"(?s){SPACE}*\p{{L}}+|{SPACE}*[^{SPACE}\p{{L}}]+|{SPACE}+"), F.lit(0)))
 
 
-def merges() -> Column:
-    """The ends of a word's pieces by merging: the bounds, from 0 to the word's length, after all joins."""
-    scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["start"] * 64 + e["end"], e["score"])))
+def named_struct(**fields: Column) -> Column:
+    """A struct whose names hold within lambdas too."""
+    return F.named_struct(*(x for name, c in fields.items() for x in (F.lit(name), c)))
 
-    def step(bounds: Column, _: Column) -> Column:
-        inner = F.sequence(F.lit(1), F.size(bounds) - 2)
-        options = F.transform(inner, lambda i: F.struct(F.try_element_at(scores, F.get(bounds, i - 1) * 64 + F.get(bounds, i + 1)).alias("score"), (-i).alias("i")))
-        best = F.array_max(F.filter(options, lambda o: o["score"].isNotNull()))
-        left = F.filter(bounds, lambda b, k: k != -best["i"])
-        return F.when(F.size(bounds) < 3, bounds).when(best.isNull(), bounds).otherwise(left)
 
-    singles = F.sequence(F.lit(0), F.length("word"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), singles, step)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value made once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def viterbi(unknown: float = -1e6) -> tuple[Column, Column]:
-    """Two columns, the second over the first as _table: the same bounds of the path with the largest sum of scores (the longest last piece of equals); characters without a piece score unknown."""
-    best = "array<struct<score:double,back:int>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"))).cast(best)
+def lattices(distinct: DataFrame, table_: DataFrame, longest: int, keys: tuple[str, ...] = ("word",), carried: str | None = None) -> DataFrame:
+    """keys, carried and edges, an array of (end, start, id, score) in order, of distinct words; keys hold word.
 
-    def step(held: Column, end: Column) -> Column:
-        over = F.transform(F.filter("edges", lambda e: e["end"] == end), lambda e: F.struct((F.get(held, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("back")))
-        alone = F.struct((F.get(held, end - 1)["score"] + F.lit(unknown)).alias("score"), (end - 1).alias("back"))
-        order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(a["back"] - b["back"])
-        return F.concat(held, F.array(F.get(F.array_sort(F.concat(over, F.array(alone)), order), F.lit(0))).cast(best))
-
-    table_ = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step)
-    back = lambda path, _: F.when(F.get(path, F.lit(0)) == 0, path).otherwise(F.concat(F.array(F.get(F.col("_table"), F.get(path, F.lit(0)))["back"]), path))
-    return table_, F.aggregate(F.sequence(F.lit(1), F.length("word")), F.array(F.length("word")), back)
+    A character without a piece has an edge without an id. The carried column rides on a row of its own, start -1.
+    """
+    n = F.coalesce(F.length("word"), F.lit(0))
+    held = [F.when(F.col("start") < 0, F.col(carried)).alias(carried)] if carried else []
+    starts = distinct.select(*keys, *([carried] if carried else []), F.explode(F.sequence(F.lit(-1), n - 1)).alias("start")).select(*keys, *held, "start")
+    reach = F.when(F.col("start") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + longest)))
+    ends = starts.select("*", F.explode(reach).alias("end")).withColumn("piece", F.expr("if(start < 0, null, substring(word, start + 1, end - start))"))
+    found = ends.join(F.broadcast(table_), "piece", "left").filter("id is not null or end = start + 1 or start < 0")
+    edge = F.when(F.col("start") >= 0, F.struct("end", "start", "id", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))
+    return found.groupBy(*keys).agg(*([F.first(carried, ignorenulls=True).alias(carried)] if carried else []), F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def bytes_of(c: Column, first_byte: int) -> Column:
@@ -100,64 +95,111 @@ def bytes_of(c: Column, first_byte: int) -> Column:
     return F.transform(at, lambda i: F.conv(F.substring(hexed, i, 2), 16, 10).cast("int") + first_byte)
 
 
-def folded(distinct: DataFrame, model: str, fold: str, spark: SparkSession) -> DataFrame:
-    """word and ids of distinct words."""
-    table_, longest, first_byte = pieces(spark, model)
-    edges = lattices(distinct, table_, longest)
-    if fold == "merges":
-        bounded = edges.withColumn("bounds", merges())
-    else:
-        held, back = viterbi()
-        bounded = edges.withColumn("_table", held).withColumn("bounds", back).drop("_table")
-    by_span = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["start"] * 64 + e["end"], e["id"])))
-    spans = F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda k: F.struct(F.get("bounds", k).alias("a"), F.get("bounds", k + 1).alias("b")))
-    char = lambda s: F.substring(F.col("word"), s["a"] + 1, s["b"] - s["a"])
-    ids = F.flatten(F.transform(spans, lambda s: F.when(F.try_element_at(by_span, s["a"] * 64 + s["b"]).isNotNull(), F.array(F.try_element_at(by_span, s["a"] * 64 + s["b"]))).otherwise(bytes_of(char(s), first_byte))))
-    return bounded.select("word", ids.alias("ids"))
-
-
-def by_library(model: str):
-    """ids of long words by the library: the word's own front sign stands for the one that the library adds."""
-
-    @F.pandas_udf(_IDS)
-    def encoded(long_words: pd.Series) -> pd.Series:
-        own = _processor(model)
-        return pd.Series([own.encode(w[1:].replace(SPACE, " ")) for w in long_words], dtype="object")
-
-    return encoded
-
-
-def encode(docs: DataFrame, model: str = MODEL, fold: str = "merges") -> DataFrame:
-    """doc_id, n_words and ids of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = docs.groupBy(docs["doc_id"].cast("long").alias("doc_id"), "text").agg(F.count("*").alias("times"))
-    rows = rows.select("doc_id", "times", F.xxhash64("text").alias("h"), words(F.coalesce("text", F.lit(""))).alias("words"))
-    rows, _ = written(spark, rows, "pieces-words")
-    placed = rows.select("doc_id", "h", F.posexplode("words").alias("place", "word"))
-    distinct, _ = written(spark, placed.select("word").distinct(), "pieces-distinct")
-    short, long_ = distinct.filter(F.length("word") <= LONGEST_WORD), distinct.filter(F.length("word") > LONGEST_WORD)
-    known, _ = written(spark, folded(short, model, fold, spark).unionByName(long_.select("word", by_library(model)("word").alias("ids"))), "pieces-ids")
-    found = placed.join(known, "word").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("found"))
-    found = found.select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"), F.flatten(F.transform("found", lambda x: x["ids"])).alias("ids"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("h") == F.col("found_h")), "left").select("doc_id", "times", F.size("words").cast("long").alias("n_words"), "ids")
-    again = out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return again.select("doc_id", "n_words", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded (doc_id, ids, ...) with text: pieces by an equi-join on the id, in order, as bytes; the front sign goes."""
+def named(word: Column, a: Column, b: Column, id_: Column, first_byte: int) -> Column:
+    """The ids of a word's piece from a to b."""
+    return F.when(id_.isNotNull(), F.array(id_)).otherwise(bytes_of(F.substring(word, a + 1, b - a), first_byte))
+
+
+def viterbi(first_byte: int) -> Column:
+    """The ids of the path with the largest sum of scores over word and edges: forward over the edges by their ends, then back."""
+    best = "array<struct<score:double,back:int,id:int>>"
+    start = F.array(named_struct(score=F.lit(0.0), back=F.lit(0), id=F.lit(None).cast("int"))).cast(best)
+
+    def relax(held: Column, e: Column) -> Column:
+        score = F.get(held, e["start"])["score"] + e["score"]
+        own = F.array(named_struct(score=score, back=e["start"], id=e["id"]))
+        # edges come by end, then by start: a later one with the same sum has a shorter last piece
+        replaced = F.when(score > F.get(held, e["end"])["score"], F.concat(F.slice(held, F.lit(1), e["end"]), own)).otherwise(held)
+        return F.when(F.size(held) == e["end"], F.concat(held, own)).otherwise(replaced).cast(best)
+
+    way = "struct<at:int,ids:array<int>>"
+
+    def step(table_: Column, path: Column) -> Column:
+        last = F.get(table_, path["at"])
+        own = named(F.col("word"), last["back"], path["at"], last["id"], first_byte)
+        return F.when(path["at"] == 0, path).otherwise(named_struct(at=last["back"], ids=F.concat(own, path["ids"]))).cast(way)
+
+    end = named_struct(at=F.length("word"), ids=F.array().cast("array<int>")).cast(way)
+    back = lambda table_: F.aggregate(F.sequence(F.lit(1), F.length("word")), end, lambda path, _: step(table_, path))["ids"]
+    return let(F.aggregate("edges", start, relax), back)
+
+
+def merges(first_byte: int) -> Column:
+    """The ids after all merges, over word and edges: the inner bounds between pieces, each with the score of the edge over it."""
+    bounds = "array<struct<score:double,left:int>>"
+    key = lambda a, b: a.cast("long") * (1 << 31) + b
+    n = F.length("word")
+
+    def folded(by_span: Column) -> Column:
+        score = lambda a, b: F.try_element_at(by_span, key(a, b))["score"]
+        bound = lambda a, i, b: named_struct(score=score(a, b), left=-i)
+        singles = F.when(n < 2, F.array().cast(bounds)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: bound(i - 1, i, i + 1)).cast(bounds))
+        # the place of the k-th bound (from 0); before the first is the word's start, behind the last its end
+        place = lambda held, k: F.when(k < 0, F.lit(0)).when(k >= F.size(held), n).otherwise(-F.get(held, k)["left"])
+
+        def joined(held: Column, k: Column) -> Column:
+            a, b = place(held, k - 1), place(held, k + 1)
+            before = F.when(k > 0, F.array(bound(place(held, k - 2), a, b)).cast(bounds)).otherwise(F.array().cast(bounds))
+            behind = F.when(k < F.size(held) - 1, F.array(bound(a, b, place(held, k + 2))).cast(bounds)).otherwise(F.array().cast(bounds))
+            head = F.when(k > 1, F.slice(held, F.lit(1), F.greatest(F.lit(0), k - 1))).otherwise(F.array().cast(bounds))
+            return F.concat(head, before, behind, F.slice(held, k + 3, F.size(held))).cast(bounds)
+
+        def step(held: Column, _: Column) -> Column:
+            # the best score, and of equals the leftmost bound
+            return let(F.array_max(held), lambda best: F.when(best["score"].isNull(), held).otherwise(let(F.array_position(held, best).cast("int") - 1, lambda k: joined(held, k))))
+
+        inner = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), singles, lambda held, i: F.when(F.size(held) == 0, held).otherwise(step(held, i)).cast(bounds))
+        ends = lambda held: F.concat(F.array(F.lit(0)), F.transform(held, lambda x: -x["left"]), F.array(n))
+
+        def ids(at: Column) -> Column:
+            spans = F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: named_struct(a=F.get(at, k), b=F.get(at, k + 1)))
+            return F.flatten(F.transform(spans, lambda s: named(F.col("word"), s["a"], s["b"], F.try_element_at(by_span, key(s["a"], s["b"]))["id"], first_byte)))
+
+        return let(ends(inner), ids)
+
+    known = F.filter("edges", lambda e: e["id"].isNotNull())
+    return let(F.map_from_entries(F.transform(known, lambda e: F.struct(key(e["start"], e["end"]), named_struct(score=e["score"], id=e["id"])))), folded)
+
+
+def encode(docs: DataFrame, model: str = MODEL, folds: tuple[str, ...] = ("merges",)) -> DataFrame:
+    """doc_id, n_words and for each fold its ids (ids of the first, ids_<fold> of others) of docs (doc_id, text); and grp, row: by grp the rows are dealt out, by row they differ."""
+    table_, longest, first_byte = pieces(docs.sparkSession, model)
+    parts = partitions_for(docs, GROUP_BYTES)
+    # dealt out by row, so that no id or text that many rows share makes a group large
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition(parts, "grp")
+    placed = rows.select("grp", "row", "doc_id", F.posexplode_outer(words(F.col("text"))).alias("place", "word"))
+    distinct = placed.groupBy("grp", "word").agg(F.collect_list(F.struct("row", "doc_id", "place")).alias("places"))
+    edges = lattices(distinct, table_, longest, ("grp", "word"), "places")
+    made = {"viterbi": viterbi, "merges": merges}
+    none = F.array().cast("array<int>")
+    columns = ["ids", *(f"ids_{f}" for f in folds[1:])]
+    own = [F.when(F.col("word").isNull(), none).otherwise(made[f](first_byte)).alias(c) for f, c in zip(folds, columns)]
+    found = edges.select("grp", *own, F.explode("places").alias("at")).select("grp", "at.row", "at.doc_id", "at.place", *columns)
+    sorted_ = found.groupBy("grp", "row").agg(F.first("doc_id").alias("doc_id"), F.count("place").alias("n_words"), F.array_sort(F.collect_list(F.struct("place", *columns))).alias("found"))
+    return sorted_.select("grp", "row", "doc_id", "n_words", *(F.flatten(F.col(f"found.{c}")).alias(c) for c in columns))
+
+
+def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
+    """encoded (grp, row, ids, ...) with text: pieces by an equi-join on the id, in order, as bytes; the front sign goes."""
     spark = encoded.sparkSession
     table_, _, first_byte = pieces(spark, model)
     shown = table_.select("id", F.hex(F.encode("piece", "UTF-8")).alias("bytes")).unionByName(spark.range(256).select((F.col("id") + first_byte).cast("int").alias("id"), F.lpad(F.hex("id"), 2, "0").alias("bytes")))
-    key = F.xxhash64("ids")
-    rows = encoded.select("ids").distinct().withColumn("h", key).select("h", F.posexplode("ids").alias("place", "id")).join(F.broadcast(shown), "id")
-    texts = rows.groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "bytes"))), lambda x: x["bytes"]), "").alias("bytes"))
-    plain = F.replace(F.decode(F.unhex("bytes"), "UTF-8"), F.lit(SPACE), F.lit(" "))
-    return encoded.withColumn("h", key).join(texts.select("h", F.substr(plain, F.lit(2)).alias("text")), "h", "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("h")
+    others = [c for c in encoded.columns if c not in ("grp", "row")]
+    rows = encoded.select("*", F.posexplode_outer(ids).alias("_place", "_id"))
+    # what isn't to be sorted once an id rides on the first one's row
+    riding = F.when(F.coalesce(F.col("_place"), F.lit(0)) == 0, F.struct(*others)).alias("_own")
+    joined = rows.select("grp", "row", riding, "_place", "_id").join(F.broadcast(shown.select(F.col("id").alias("_id"), "bytes")), "_id", "left")
+    texts = joined.groupBy("grp", "row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.struct("_place", "bytes"))).alias("_bytes"))
+    joint = F.array_join(F.transform("_bytes", lambda x: x["bytes"]), "")
+    plain = F.replace(F.decode(F.unhex(joint), "UTF-8"), F.lit(SPACE), F.lit(" "))
+    return texts.select("grp", "row", "_own.*", F.coalesce(F.substr(plain, F.lit(2)), F.lit("")).alias("text"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the text that they decode to."""
-    rows, _ = written(spark, encode(table(spark, sf_dir, "documents")), "pieces-encoded")
-    ids = [F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32")]
-    return decode(rows).select("doc_id", "n_words", *ids, F.length("text").cast("long").alias("text_length"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    """Digests of each document's Viterbi ids, of the text that they decode to, and of the library's (merged) ids."""
+    rows = encode(table(spark, sf_dir, "documents"), folds=FOLDS)
+    digest = lambda c: F.crc32(F.array_join(c, " ").cast("binary"))
+    sums = [F.size("ids").cast("long").alias("n_pieces"), digest("ids").alias("ids_crc32"), F.size("ids_merges").cast("long").alias("n_merged"), digest("ids_merges").alias("merged_crc32")]
+    told = decode(rows.select("grp", "row", "doc_id", "n_words", "ids", *sums))
+    return told.select("doc_id", "n_words", "n_pieces", "ids_crc32", "n_merged", "merged_crc32", F.length("text").cast("long").alias("text_length"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
