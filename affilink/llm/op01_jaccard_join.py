@@ -8,7 +8,10 @@ its subset (it then finds pairs that agree in it), or also by those of all subse
 pairs that differ in it by one). The first kind uncovers one unit of difference, the second two; a band's segments hold
 H + 1 units for its largest pairs, so by the pigeonhole principle each linked pair meets in a segment. How many segments
 are of the second kind is chosen by cost: rows written, and pairs that meet by chance since a small set leaves segments
-(nearly) empty. A set is indexed in its own band, and in the band below if a smaller partner could be there.
+(nearly) empty. Segments of the first kind that are empty in both sets would make most sets meet, so a band has some spare ones:
+where spare segments more than H + 1 are cut, spare + 1 segments at least agree or nearly do, and a set with up to spare empty
+ones meets its partners in another. Its empty ones are left out of the index. A set with more of them has all its segments
+indexed, and meets others of its like there. A set is indexed in its own band, and in the band below if a smaller partner could be there.
 
 Only one document of a class is indexed. Its keys aren't rows: a task sorts those of its classes, deals them into ranges and
 packs each range's keys (as differences) and classes (as numbers) into a blob, a few bytes a key. The task of a range opens its
@@ -37,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +77,8 @@ class Band:
     least: int
     single: int
     double: int
+    #: Empty segments of the first kind that a set may have and still be left out of their buckets.
+    spare: int = 0
 
     @property
     def segments(self) -> int:
@@ -90,7 +96,7 @@ def crowds(classes: DataFrame) -> dict[int, int]:
 
 
 def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float = BAND_RATIO) -> list[Band]:
-    """Bands from the smallest size at which linked sets can differ. single + 2 * double = H + 1 of a band's largest pair.
+    """Bands from the smallest size at which linked sets can differ. single + 2 * double = H + 1 + spare, H of a band's largest pair.
 
     crowd is that of crowds(); it decides costs, not results.
     """
@@ -104,15 +110,33 @@ def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, rat
         at = int(np.log(size) / np.log(ratio))
         n_docs = sum(crowd.get(k, 0) for k in range(at - 1, at + 3))
 
-        def cost(double: int) -> float:
-            n = units - double
+        def empties(double: int, spare: int) -> float:
+            """Empty segments of the first kind to be expected in a set of the band's least size."""
+            m = units - 2 * double + spare
+            return m * (1 - 1 / max(2, m + double)) ** size
+
+        def spared(double: int, margin: int) -> int:
+            """So many that few sets have more empty segments."""
+            spare = 0
+            for _ in range(8):
+                empty = empties(double, spare)
+                spare = int(np.ceil(empty + margin * np.sqrt(empty)))
+                if spare > units - 2 * double:
+                    return 0
+            return spare
+
+        def cost(option: tuple[int, int]) -> float:
+            double, spare = option
+            n = units - double + spare
             empty = (1 - 1 / n) ** size if n > 1 else 0.0
             one = size / n * (1 - 1 / n) ** (size - 1) if n > 1 else 0.0
-            chance = (units - 2 * double) * empty**2 + double * (empty + one) ** 2
-            return units - 2 * double + double * (1 + size / n) + PAIR_COST * n_docs * chance
+            sparse = 1 - sum(np.exp(k * np.log(m) - m - lgamma(k + 1)) for k in range(spare + 1)) if spare and (m := empties(double, spare)) > 0 else float(not spare)
+            chance = min(1.0, (units - 2 * double) * empty**2) * max(0.0, sparse) ** 2 + double * (empty + one) ** 2
+            return units - 2 * double + spare + double * (1 + size / n) + PAIR_COST * n_docs * chance
 
-        double = min(range(min(units // 2, 64) + 1), key=cost)
-        out.append(Band(len(out), size, units - 2 * double, double))
+        doubles = range(min(units // 2, 64) + 1)
+        double, spare = min([(d, 0) for d in doubles] + [(d, spared(d, margin)) for d in doubles if units > 2 * d for margin in (3, 6)], key=cost)
+        out.append(Band(len(out), size, units - 2 * double + spare, double, spare))
         size = above
     return out
 
@@ -164,7 +188,10 @@ def keys_of(s: np.ndarray, plan: list[Band], least: np.ndarray, num: int, den: i
         bounds = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
         parts = sums[bounds[1:]] - sums[bounds[:-1]]
         salt = mixed(np.arange(band.segments, dtype=np.uint64) + np.uint64((band.number + 1) << 40))
-        out.append(mixed(parts ^ salt))
+        empty = np.flatnonzero(bounds[1:] == bounds[:-1])
+        empty = empty[empty >= band.double]
+        named = mixed(parts ^ salt)
+        out.append(np.delete(named, empty) if len(empty) <= band.spare else named)
         for i in range(band.double):
             inside = slice(int(bounds[i]), int(bounds[i + 1]))
             out.append(mixed((parts[i] - elements[inside]) ^ salt[i]))
@@ -314,13 +341,19 @@ def sets_of(chosen: DataFrame, n: int) -> DataFrame:
     return chosen.select(chosen["text"].cast("binary"), "class_no").mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
+def alike(most: str, x: str, y: str) -> str:
+    """Whether odd sketches differ in no more bits than the elements that linked sets may lack."""
+    return " + ".join(f"bit_count({x}_{c} ^ {y}_{c})" for c in _SKETCH) + f" <= {most}"
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with linked: whether den * intersection >= num * union."""
-    one = sets.select(F.col("class_key").alias("a"), F.col("size").alias("a_size"), F.col("elements").alias("a_set"))
-    two = sets.select(F.col("class_key").alias("b"), F.col("size").alias("b_size"), F.col("elements").alias("b_set"))
-    sizes = pairs.join(one.drop("a_set"), "a").join(two.drop("b_set"), "b")
-    possible = sizes.filter(F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num).select("a", "b")
-    both = possible.join(one, "a").join(two, "b")
+    """Those of the pairs (a, b) with den * intersection >= num * union. Sizes and sketches, a few bytes, come before the sets."""
+    side = lambda p, *c: sets.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), *c)
+    sketch = lambda p: [F.col(c).alias(f"{p}_{c}") for c in _SKETCH]
+    told = pairs.join(side("a", *sketch("a")), "a").join(side("b", *sketch("b")), "b")
+    most = f"(a_size + b_size) * {den - num} div {den + num}"
+    possible = told.filter((F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & F.expr(alike(most, "a", "b"))).select("a", "b")
+    both = possible.join(side("a", F.col("elements").alias("a_set")), "a").join(side("b", F.col("elements").alias("b_set")), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.select("a", "b", "a_size", "b_size", shared.alias("shared")).filter(F.col("shared") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
@@ -340,10 +373,9 @@ def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     less = rows.filter("component <> largest").select("element", *side("x"))
     every = rows.select("element", *side("y"))
     most = f"(x_size + y_size) * {den - num} div {den + num}"
-    flipped = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _SKETCH)
-    few = F.expr(f"x_place + y_place - 2 <= {most} and {flipped} <= {most}")
-    alike = F.least("x_size", "y_size") * den >= F.greatest("x_size", "y_size") * num
-    met = less.join(every, (less.element == every.element) & (F.col("x_component") != F.col("y_component")) & few & alike)
+    few = F.expr(f"x_place + y_place - 2 <= {most} and {alike(most, 'x', 'y')}")
+    near = F.least("x_size", "y_size") * den >= F.greatest("x_size", "y_size") * num
+    met = less.join(every, (less.element == every.element) & (F.col("x_component") != F.col("y_component")) & few & near)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

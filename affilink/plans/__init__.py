@@ -1 +1 @@
-"""The queries of the driver contract and their SQL."""
+"""The driver's queries and their SQL."""

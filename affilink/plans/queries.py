@@ -7,52 +7,17 @@ a searchable corpus, benchmark for queries, embeddings for vectors.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from affilink.functions import normalize, qualifiers, similarity
-from affilink.operators import canonical, cascade, decisions, decompose, documents, fusion, lexical, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-_SPACES = "[\\u00A0\\u200B\\u200C\\u200D\\u2060\\uFEFF\\u2000-\\u200A\\u3000]".encode().decode("unicode_escape")
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from affilink.operators import canonical, decisions, decompose, documents, fusion, lexical, vectors
+from affilink.plans.base import QUERIES, SQL, _bare, _clean, _lower, _plain, _t, query  # noqa: F401
 
 # --- text -------------------------------------------------------------------------------------------------------------
 
 
-def _clean(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({x}, '{_SPACES}', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-def _lower(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, '[{normalize.TURKISH}]') THEN lower(translate({x}, '{normalize.UPPER}', '{normalize.LOWER}')) ELSE lower({x}) END"
-
-
-def _bare(x: str) -> str:
-    return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')"
-
-
-def _plain(x: str) -> str:
-    return f"translate({x}, '{normalize.ACCENTED}', '{normalize.PLAIN}')"
-
-
 @query(f"WITH a AS (SELECT doc_id, {_clean('text')} AS t FROM documents), b AS (SELECT doc_id, {_lower('t')} AS t FROM a), c AS (SELECT doc_id, {_bare('t')} AS t FROM b), d AS (SELECT doc_id, {_clean('t')} AS base FROM c) SELECT doc_id, base, {_plain('base')} AS base_no_accent FROM d")
 def normalize_text(spark, sf):
     base = normalize.base_of(normalize.nfkc("text"), abbreviations=False)

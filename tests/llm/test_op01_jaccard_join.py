@@ -82,11 +82,11 @@ def test_a_large_group_of_near_copies_is_not_paired_out(spark):
 
 @pytest.mark.parametrize("n_docs", [10, 10**9])
 def test_bands_hold_enough_units(n_docs):
-    """Small sets of a large corpus take neighbourhoods short of one element; a small corpus takes plain segments."""
+    """Small sets of a large corpus take neighbourhoods short of one element; a small corpus takes plain segments. Spare segments come on top."""
     plan = join.bands({k: n_docs // 4 for k in range(60)})
     for band, above in zip(plan[:12], plan[1:]):
         most = max(join.difference(r, s, 90, 100) for r in range(band.least, above.least) for s in (r, r * 100 // 90))
-        assert band.single + 2 * band.double == most + 1
+        assert band.single + 2 * band.double == most + 1 + band.spare
     assert (plan[0].double > 0) == (n_docs > 10**6)
 
 
@@ -109,6 +109,34 @@ def test_sets_within_the_difference_share_a_key(n_docs):
             assert np.intersect1d(join.keys_of(a, plan, least, 90, 100), join.keys_of(b, plan, least, 90, 100)).size or (len(a) == len(b) == shared)
 
 
+def test_sets_with_many_empty_segments_meet_too():
+    """Elements crowd in few segments, so that more than the spare ones are empty: those are indexed then."""
+    plan = join.bands({k: 1000 for k in range(60)}, 80, 100)
+    least = np.array([b.least for b in plan])
+    assert any(b.spare for b in plan[:12])
+    rng = np.random.default_rng(4)
+    for size in (20, 60, 150):
+        a = np.sort(rng.integers(0, 1 << 58, size, dtype=np.uint64))
+        b = np.sort(np.concatenate([a[size // 6 :], rng.integers(1 << 63, 1 << 64, 1, dtype=np.uint64)]))
+        assert 100 * np.intersect1d(a, b).size >= 80 * np.union1d(a, b).size
+        assert np.intersect1d(join.keys_of(a, plan, least, 80, 100), join.keys_of(b, plan, least, 80, 100)).size
+
+
+def test_blobs_come_back():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 1 << 40, 1000, dtype=np.uint64))
+    classes = rng.integers(-5, 1 << 40, 1000)
+    assert all(np.array_equal(x, y) for x, y in zip(join.opened(join.packed(keys, classes)), (keys, classes)))
+
+
+def test_buckets_are_keys_that_classes_share():
+    keys = np.array([5, 1, 5, 9, 9, 7, 1, 1, 3, 3], dtype=np.uint64)
+    classes = np.array([2, 4, 2, 8, 6, 1, 5, 4, 8, 6])
+    name, who, low, high = join.shared_keys(keys, classes)
+    # 5 and 7 have one class each; 3 and 9 have the same two, and count once
+    assert sorted(zip(who.tolist(), low.tolist(), high.tolist())) == [(4, 4, 5), (5, 4, 5), (6, 6, 8), (8, 6, 8)] and len(set(name.tolist())) == 2
+
+
 def difference_ok(a, b):
     shared = np.intersect1d(a, b).size
     return 100 * shared >= 90 * (len(a) + len(b) - shared)
