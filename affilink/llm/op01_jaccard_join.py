@@ -40,7 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import lgamma
+from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,15 @@ def crowds(classes: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in classes.filter("size > 0").groupBy(F.floor(F.log("size") / float(np.log(BAND_RATIO))).cast("long")).count().collect()}
 
 
+def above_poisson(mean: float, k: int) -> float:
+    """The probability of more than k by a Poisson distribution; by the normal one where the mean is large."""
+    if mean <= 0:
+        return 0.0
+    if mean > 50:
+        return 0.5 * erfc((k + 0.5 - mean) / sqrt(2 * mean))
+    return max(0.0, 1 - sum(exp(i * log(mean) - mean - lgamma(i + 1)) for i in range(k + 1)))
+
+
 def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, ratio: float = BAND_RATIO) -> list[Band]:
     """Bands from the smallest size at which linked sets can differ. single + 2 * double = H + 1 + spare, H of a band's largest pair.
 
@@ -130,8 +139,8 @@ def bands(crowd: dict[int, int], num: int = LEAST_NUM, den: int = LEAST_DEN, rat
             n = units - double + spare
             empty = (1 - 1 / n) ** size if n > 1 else 0.0
             one = size / n * (1 - 1 / n) ** (size - 1) if n > 1 else 0.0
-            sparse = 1 - sum(np.exp(k * np.log(m) - m - lgamma(k + 1)) for k in range(spare + 1)) if spare and (m := empties(double, spare)) > 0 else float(not spare)
-            chance = min(1.0, (units - 2 * double) * empty**2) * max(0.0, sparse) ** 2 + double * (empty + one) ** 2
+            sparse = above_poisson(empties(double, spare), spare) if spare else 1.0
+            chance = min(1.0, (units - 2 * double) * empty**2) * sparse**2 + double * (empty + one) ** 2
             return units - 2 * double + spare + double * (1 + size / n) + PAIR_COST * n_docs * chance
 
         doubles = range(min(units // 2, 64) + 1)

@@ -140,3 +140,14 @@ def test_buckets_are_keys_that_classes_share():
 def difference_ok(a, b):
     shared = np.intersect1d(a, b).size
     return 100 * shared >= 90 * (len(a) + len(b) - shared)
+
+
+def test_bands_of_all_sizes_are_planned_at_once():
+    """The plan reaches sets of billions; its costs must not be sums over their segments."""
+    import time
+
+    start = time.monotonic()
+    for num in (80, 90):
+        assert join.bands({k: 1000 for k in range(60)}, num, 100)[-1].least * 2 > join.LARGEST_SET
+    assert time.monotonic() - start < 10
+    assert abs(join.above_poisson(50.0, 60) - join.above_poisson(50.0001, 60)) < 0.02 and join.above_poisson(0.0, 3) == 0
