@@ -19,7 +19,8 @@ blobs, one sort finds the keys that several classes share (the buckets), and of
 Keys have KEY_BITS bits, more where the corpus has more keys; two that fall together by chance cost a check, no link.
 
 Classes that meet under one key (a bucket) aren't all paired. Each is checked against the bucket's smallest and largest
-class, and the links give components. Classes in buckets of several components remain; among them linked pairs of
+class, which then leave the bucket, and the links give components. What is left of buckets, where it is of several
+components, takes other ends; so small buckets are soon empty. Of the classes that remain after STAR_ROUNDS more such checks, linked pairs of
 different components are sought. There elements are ordered from rare to common. What stands in a set before its first
 element in common with another is missing in that one, so both sets' places of their first common element tell of more
 differences than H, or the pair is a candidate. Only places up to H + 1 can matter, a tenth of a set. A candidate's odd
@@ -370,12 +371,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that hold all linked ones of different components among classes (class_key, component)."""
     own = sets.join(classes, "class_key")
-    rows = own.select("class_key", "component", "size", F.explode("elements").alias("element"))
-    counts = rows.groupBy("element").agg(F.count("*").alias("sets"))
-    order = Window.partitionBy("class_key").orderBy("sets", "element")
+    rows = own.select("class_key", F.explode("elements").alias("element"))
+    counts = rows.groupBy("element").agg(F.count("*").alias("sets")).filter("sets > 1")
+    # elements of one set alone come first and need no row: places of the others count from the end
+    order = Window.partitionBy("class_key").orderBy(F.desc("sets"), F.desc("element"))
+    rows = rows.join(counts, "element").select("class_key", "element", F.row_number().over(order).alias("back")).join(own.select("class_key", "component", "size"), "class_key")
     # the most elements that a linked set of the largest size leaves out, and one
     reach = F.expr(f"(size + size * {den} div {num}) * {den - num} div {den + num}") + 1
-    rows = rows.join(counts, "element").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= reach).filter("sets > 1")
+    rows = rows.withColumn("place", F.col("size") + 1 - F.col("back")).filter(F.col("place") <= reach).drop("back")
     held = rows.groupBy("element", "component").agg(F.count("*").alias("n")).groupBy("element").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
     rows = rows.join(held.filter("components > 1"), "element").join(own.select("class_key", *_SKETCH), "class_key")
     side = lambda p: [F.col("class_key").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("component", "size", "place", *_SKETCH))]
@@ -440,7 +443,8 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
         labels, labels_path = connected(spark, links)
         if turn == STAR_ROUNDS:
             break
-        known = members.select("key", "class_key").join(labels.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
+        # a bucket's ends have met all others of it, so they leave it
+        known = left.filter("class_key <> low and class_key <> high").select("key", "class_key").join(labels.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
         # what is still in several components takes other ends: by a hash that changes with the turn
         rank = F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.col("class_key").alias("c"))
         mixed_ = known.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi")).filter("m <> n")
