@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affilink.functions.normalize import name_key
@@ -128,15 +130,29 @@ def acronyms(aliases: Column, excluded_source: str | None = None, stop: tuple[st
 def equivalent_parents(parents: DataFrame) -> DataFrame:
     """parent_id, canonical_id: parents of one country that share a name or alias key take the smallest id, over any number of steps."""
     keys = parents.select("id", "country", F.explode(F.array_distinct(F.concat(F.array("name"), F.transform("aliases", lambda a: a["value"])))).alias("text")).withColumn("key", name_key(F.col("text"))).filter("key <> '' and country is not null")
-    number = keys.select("id", "country", "key").distinct()
-    labels = parents.select("id", F.col("id").alias("label"))
-    for _ in range(6):  # a chain of names doubles its reach each time
+    spark = parents.sparkSession
+    number = checkpointed(spark, keys.select("id", "country", "key").distinct())
+    labels = checkpointed(spark, parents.select("id").distinct().withColumn("label", F.col("id")))
+    changed = True
+    while changed:
         low = number.join(labels, "id").groupBy("country", "key").agg(F.min_by("label", id_key(F.col("label"))).alias("low"))
         best = number.join(low, ["country", "key"]).groupBy("id").agg(F.min_by("low", id_key(F.col("low"))).alias("best"))
-        labels = labels.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label"))
+        near = labels.join(best, "id", "left").select("id", "label", F.coalesce("best", "label").alias("up"))
+        # a label's own label: a chain's reach doubles each round
+        jump = labels.select(F.col("id").alias("up"), F.col("label").alias("over"))
+        step = checkpointed(spark, near.join(jump, "up").select("id", F.col("label").alias("old"), F.col("over").alias("label")))
+        changed = not step.filter("old <> label").isEmpty()
+        labels = step.drop("old")
     return labels.select(F.col("id").alias("parent_id"), F.col("label").alias("canonical_id"))
 
 
+def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, written to the cluster's checkpoint folder; where none is set, as in tests, to one of our own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affilink-"))
+    return df.checkpoint()
+
+
 def profile(rows: DataFrame, name: str = "name", label: str | None = None) -> dict[str, DataFrame]:
     """Cardinality and name-sharing histogram, fill rates, and label distribution of a registry table."""
     shared = rows.groupBy(name_key(F.col(name)).alias("key")).agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("names"))

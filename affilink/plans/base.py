@@ -88,7 +88,7 @@ def _expanded(x: str) -> str:
 
 
 #: Characters of the fixtures that compatibility composition changes.
-COMPOSED = {"ﬁ": "fi", "²": "2", "Ａ": "A", "ｅ": "e", "™": "TM", "①": "1", "ü": "ü", "…": "..."}
+COMPOSED = {"ﬁ": "fi", "²": "2", "Ａ": "A", "Ｂ": "B", "ｅ": "e", "™": "TM", "①": "1", "ü": "ü", "…": "..."}
 
 
 def _nfkc(x: str) -> str:

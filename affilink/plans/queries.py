@@ -157,19 +157,6 @@ def kind_label_map(spark, sf):
     return canonical.parse_kinds(rows).select("id", "kind_label_raw", "unit_type", "program_type", "is_interdisciplinary", "is_ror_child")
 
 
-@query("SELECT step, before, after, dropped FROM (SELECT 'P1_active_filter' AS step, count(*) AS before, count(*) FILTER (s_acctbal > 0) AS after, count(*) FILTER (NOT s_acctbal > 0) AS dropped FROM supplier)")
-def step_report(spark, sf):
-    parents, subunits = _registry(spark, sf)
-    return canonical.canonicalize(parents, subunits).steps.filter("step = 'P1_active_filter'").drop("notes")
-
-
-@query()
-def build_data(spark, sf):
-    parents, subunits = _registry(spark, sf)
-    got = canonical.canonicalize(parents, subunits)
-    return canonical.subunit_records(got.subunits).drop("aliases")
-
-
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, coalesce(n_name, '') AS parent_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def parent_enrich(spark, sf):
     parents = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
@@ -206,20 +193,6 @@ def windows_enumerate(spark, sf):
     return rows.select("query_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "surface")
 
 
-@query()
-def indel_ratio(spark, sf):
-    names = _names(spark, sf).select(F.col("text").alias("a"), F.split("text", " ")[0].alias("w"))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "w").filter("a < b")
-    return pairs.select("a", "b", F.round(similarity.indel_ratio("a", "b"), 4).alias("ratio"))
-
-
-@query()
-def token_set_ratio(spark, sf):
-    names = _names(spark, sf).select(F.col("text").alias("a"), F.split("text", " ")[0].alias("w"))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "w").filter("a < b")
-    return pairs.select("a", "b", F.round(similarity.token_set("a", "b"), 4).alias("ratio"))
-
-
 def _corpus_docs(spark, sf):
     return _t(spark, sf, "documents").select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_key"), F.lit("document").alias("record_type"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("name"))
 
@@ -330,10 +303,3 @@ def recall_at_k(spark, sf):
     position = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
     candidates = part.select(F.col("p_brand").alias("query_id"), position.alias("position"), F.array("p_partkey").alias("merged_ids"))
     return decisions.recall_at(candidates, part.groupBy(F.col("p_brand").alias("query_id")).agg(F.min("p_partkey").alias("expected_id")))
-
-
-@query("WITH m AS (SELECT lower(p_name) AS n, p_brand, p_type, min(p_partkey) AS id FROM part GROUP BY ALL) SELECT check_name AS \"check\", CAST(0 AS BIGINT) AS violations FROM (VALUES ('clone_key_unique'), ('no_orphan_subunit'), ('no_id_lost'), ('no_id_twice'), ('no_id_made_up')) AS t(check_name)")
-def acceptance_checks(spark, sf):
-    raw = _parts(spark, sf)
-    subunits = canonical.parse_kinds(canonical.merge_clones(raw))
-    return decisions.acceptance(raw, raw.select(F.col("parent_id").alias("id")).distinct(), subunits)
