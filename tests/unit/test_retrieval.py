@@ -178,3 +178,9 @@ def test_part_queries_are_all_pairs_of_the_table(spark):
     rows = queries._part_queries(spark, sf).collect()
     assert len({r.query_id for r in rows}) == len(rows)
     assert sorted(r.text for r in rows) == sorted(f"{p.p_brand.replace('#', ' ')} {p.p_name}" for p in part)
+
+
+def test_equivalent_parents_follow_long_chains(spark):
+    kind = "id string, name string, country string, aliases array<struct<value string, locale string, source string>>"
+    chain = spark.createDataFrame([(str(i), f"name {i}", "TR", [(f"name {i + 1}", None, None)]) for i in range(1, 21)], kind)
+    assert {r.canonical_id for r in decisions.equivalent_parents(chain).collect()} == {"1"}
