@@ -175,7 +175,9 @@ def encode(docs: DataFrame, model: str = MODEL, folds: tuple[str, ...] = ("merge
     none = F.array().cast("array<int>")
     columns = ["ids", *(f"ids_{f}" for f in folds[1:])]
     own = [F.when(F.col("word").isNull(), none).otherwise(made[f](first_byte)).alias(c) for f, c in zip(folds, columns)]
-    found = edges.select("grp", *own, F.explode("places").alias("at")).select("grp", "at.row", "at.doc_id", "at.place", *columns)
+    # folded once a word: an explode beside the folds in one select would come first, and fold each place anew
+    folded = edges.select("grp", *own, "places")
+    found = folded.select("grp", *columns, F.explode("places").alias("at")).select("grp", "at.row", "at.doc_id", "at.place", *columns)
     sorted_ = found.groupBy("grp", "row").agg(F.first("doc_id").alias("doc_id"), F.count("place").alias("n_words"), F.array_sort(F.collect_list(F.struct("place", *columns))).alias("found"))
     return sorted_.select("grp", "row", "doc_id", "n_words", *(F.flatten(F.col(f"found.{c}")).alias(c) for c in columns))
 
