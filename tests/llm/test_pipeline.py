@@ -28,7 +28,7 @@ def test_the_rows_of_a_run(spark):
     scorer = op10_quality.Scorer(own.lines(), own.offset())
     kept = [r for r in kept if scorer.score(r[1]) >= op10_quality.THRESHOLD]
     assert 0.7 * len(rows) < len(kept) < len(rows)
-    groups = {d: c for d, _, c in brute_force(kept)}
+    groups = {d: c for d, _, c in brute_force(kept, n=5, num=80, den=100)}
     kept = [r for r in kept if groups[r[0]] == r[0]]
     pieces = corpus_pipeline.run(spark, SF).collect()
     by_doc = check_packed(pieces, None, 4096)
