@@ -147,9 +147,12 @@ def equivalent_parents(parents: DataFrame) -> DataFrame:
 
 
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder; where none is set, as in tests, to one of our own."""
+    """df, written to the cluster's checkpoint folder; where none is set and Spark is local, as in tests, to one of our own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affilink-"))
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not named and master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset, and {master} shares no local folder")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="affilink-"))
     return df.checkpoint()
 
 
