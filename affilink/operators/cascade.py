@@ -62,8 +62,9 @@ def corpus(docs: DataFrame, embedded: DataFrame | None = None, fuzzy: bool = Tru
 
 def pool(queries: DataFrame, own: Corpus, record_type: str, size: int = POOL_SIZE, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_key, bm25 (raw, null if not found by it), max_bm25, cosine: both searches fused, raw scores kept."""
-    words = own.lexical(queries, record_type, size, allowed)
-    near = own.knn(queries, record_type, size, allowed)
+    # both feed several joins each; at most size rows a query, kept so that no search is planned and run anew
+    words = own.lexical(queries, record_type, size, allowed).cache()
+    near = own.knn(queries, record_type, size, allowed).cache()
     fused = fusion.fuse([words, near], size).select("query_id", "rank", "doc_key")
     most = words.groupBy("query_id").agg(F.max("score").alias("max_bm25"))
     rows = fused.join(words.select("query_id", "doc_key", F.col("score").alias("bm25")), ["query_id", "doc_key"], "left")
