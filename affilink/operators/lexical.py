@@ -34,6 +34,9 @@ STOP_WORDS = (
 ).split()
 SHORTEST_EDGE, LONGEST_EDGE = 2, 20
 MOST_EXPANSIONS = 50
+#: Rows of asked terms that may be broadcast, and bytes of files whose records make a partition of an index for them.
+FEW_ASKED = 1 << 18
+PARTITION_BYTES = 4 << 20
 
 
 def _folding() -> tuple[str, str]:
@@ -72,25 +75,31 @@ class Index(NamedTuple):
     docs: DataFrame  # doc_key, record_type, id, and what the records have
     postings: DataFrame  # doc_key, record_type, field, term, value (idf and tf part of BM25)
     terms: DataFrame  # field, term, df
+    few: bool = False  # made for a few asked terms: a record's postings are in one partition, and the asked terms go to them
 
 
-def field_terms(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """doc_key, record_type, field, terms: both analyses of each field, where it has any."""
-    analyses = [F.struct(F.lit(name + suffix).alias("field"), analyzer(F.col(name)).alias("terms")) for name in fields for suffix, analyzer in (("", turkish), (".ascii", ascii_folded))]
+def field_terms(docs: DataFrame, fields: list[str], kept: list[str] | None = None) -> DataFrame:
+    """doc_key, record_type, field, terms: both analyses of each field, or those kept, where it has any."""
+    named = [(name, suffix, analyzer) for name in fields for suffix, analyzer in (("", turkish), (".ascii", ascii_folded)) if kept is None or name + suffix in kept]
+    analyses = [F.struct(F.lit(name + suffix).alias("field"), analyzer(F.col(name)).alias("terms")) for name, suffix, analyzer in named]
     rows = docs.select("doc_key", "record_type", F.explode(F.array(*analyses)).alias("f"))
     return rows.select("doc_key", "record_type", "f.field", "f.terms").filter(F.size("terms") > 0)
 
 
-def scored_postings(analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with their BM25 values, and the terms' df, of field_terms() rows."""
+def scored_postings(analysed: DataFrame, asked: DataFrame | None = None, few: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Postings with their BM25 values, and the terms' df, of field_terms() rows; of the asked (field, term) only, if given, which are broadcast if few."""
+    near = F.broadcast if few else lambda rows: rows
     rows = analysed.withColumn("length", F.size("terms"))
-    tf = rows.select("doc_key", "record_type", "field", "length", F.explode("terms").alias("term")).groupBy("doc_key", "record_type", "field", "length", "term").agg(F.count("*").alias("tf"))
+    each = rows.select("doc_key", "record_type", "field", "length", F.explode("terms").alias("term"))
+    if asked is not None:
+        each = each.join(near(asked), ["field", "term"], "left_semi")
+    tf = each.groupBy("doc_key", "record_type", "field", "length", "term").agg(F.count("*").alias("tf"))
     fields = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))  # a row a field
     terms = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     weighted = terms.join(F.broadcast(fields), "field").select("field", "term", "average", idf.alias("idf"))
-    return tf.join(weighted, ["field", "term"]).select("doc_key", "record_type", "field", "term", (F.col("idf") * part).alias("value")), terms
+    return tf.join(near(weighted), ["field", "term"]).select("doc_key", "record_type", "field", "term", (F.col("idf") * part).alias("value")), terms
 
 
 def build_index(docs: DataFrame, fields: tuple[str, ...] = ("name", "aliases_text", "parent_name")) -> Index:
@@ -100,6 +109,22 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = ("name", "aliases_tex
     return Index(docs, postings, terms)
 
 
+def index_for(queries: DataFrame, docs: DataFrame, fields: tuple[str, ...], boosts: dict[str, float]) -> Index:
+    """An index of one search without fuzzy terms: postings of the queries' terms in the boosted fields only, statistics of all records.
+
+    Records are dealt out once, by key, before they are analysed. Where the asked terms are few they are broadcast, so neither postings
+    nor the sums over them are shuffled, and only each partition's best records of a query are.
+    """
+    asked = query_terms(queries.select("query_id", query_text(F.col("text")).alias("text")), list(boosts))
+    few = asked.count() <= FEW_ASKED
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // PARTITION_BYTES) if size < 1 << 60 else 0))
+    own = [f for f in fields if f in docs.columns]
+    dealt = docs.select("doc_key", "record_type", *own).repartition(parts, "doc_key")
+    postings, terms = scored_postings(field_terms(dealt, own, list(boosts)), asked.select("field", "term").distinct(), few)
+    return Index(docs, postings, terms, few)
+
+
 def query_terms(queries: DataFrame, fields: list[str]) -> DataFrame:
     """query_id, field, term, times of queries (query_id, text)."""
     both = queries.select("query_id", F.array(F.struct(F.lit("").alias("suffix"), turkish(F.col("text")).alias("terms")), F.struct(F.lit(".ascii").alias("suffix"), ascii_folded(F.col("text")).alias("terms"))).alias("a"))
@@ -157,6 +182,8 @@ def search(queries: DataFrame, index: Index, record_type: str, size: int = 50, f
         asked = asked.groupBy("query_id", "field", "term").agg(F.max("times").alias("times"))
     boost = F.element_at(F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv)), F.col("field"))
     asked = asked.withColumn("times", F.col("times") * boost)
+    if index.few:
+        asked = F.broadcast(asked)
     found = index.postings.filter(F.col("record_type") == record_type)
     if allowed is not None:
         parents = index.docs.filter(F.col("record_type") == record_type).select("doc_key", "parent_id")
