@@ -21,14 +21,16 @@ Keys have KEY_BITS bits, more where the corpus has more keys; two that fall toge
 Classes that meet under one key (a bucket) aren't all paired. Each is checked against the bucket's smallest and largest
 class, which then leave the bucket, and the links give components. What is left of buckets, where it is of several
 components, takes other ends; so small buckets are soon empty. Of the classes that remain after STAR_ROUNDS more such checks, linked pairs of
-different components are sought. There elements are ordered from rare to common. What stands in a set before its first
+different components are sought. Their odd sketches (a bit for each hash range, flipped by each element in it) must not differ
+in more than H bits, since each element that one set lacks flips one bit. Buckets of up to PAIRED classes go, with sizes and
+sketches, to a task that compares all of different components there; only pairs that pass become rows. The classes of larger
+buckets are sought by their elements, ordered from rare to common. What stands in a set before its first
 element in common with another is missing in that one, so both sets' places of their first common element tell of more
-differences than H, or the pair is a candidate. Only places up to H + 1 can matter, a tenth of a set. A candidate's odd
-sketches (a bit for each hash range, flipped by each element in it) must not differ in more than H bits either, since each
-element that one set lacks flips one bit; both are conditions of the join, so that pairs far apart never become rows. Within one element
+differences than H, or the pair is a candidate. Only places up to H + 1 can matter, a tenth of a set. This and the
+sketches are conditions of the join, so that pairs far apart never become rows. Within one element
 the classes outside its largest component are paired with all of other components, so a component of very many near
 copies is never paired with itself. Pairs are verified by the exact size of the intersection of their sets, so the
-components are exactly those of all links.
+components are exactly those of all links. Sizes and sketches come first; only the sets of pairs that pass are shuffled.
 
 Words are runs other than U+0009 to U+000D and U+0020, after lower-casing A to Z. With fewer words than n, the whole
 sequence is the one element; null, empty or blank texts have an empty set, linked with nothing. A null doc_id counts
@@ -60,6 +62,8 @@ LARGEST_SET = 1 << 34
 PAIR_COST = 4.0
 #: Rounds of checks against a bucket's ends before what is left is paired.
 STAR_ROUNDS = 2
+#: Classes of a bucket that a task compares directly, and comparisons at once.
+PAIRED, COMPARED = 8192, 1 << 20
 #: 64-bit words of a set's odd sketch.
 SKETCH_WORDS = 8
 MEMO_WORDS = 200_000
@@ -356,18 +360,72 @@ def alike(most: str, x: str, y: str) -> str:
     return " + ".join(f"bit_count({x}_{c} ^ {y}_{c})" for c in _SKETCH) + f" <= {most}"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) with den * intersection >= num * union. Sizes and sketches, a few bytes, come before the sets."""
-    side = lambda p, *c: sets.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), *c)
-    sketch = lambda p: [F.col(c).alias(f"{p}_{c}") for c in _SKETCH]
-    told = pairs.join(side("a", *sketch("a")), "a").join(side("b", *sketch("b")), "b")
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches, a few bytes a set, don't rule out."""
+    side = lambda p: sets.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), *(F.col(c).alias(f"{p}_{c}") for c in _SKETCH))
+    told = pairs.join(side("a"), "a").join(side("b"), "b")
     most = f"(a_size + b_size) * {den - num} div {den + num}"
-    possible = told.filter((F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & F.expr(alike(most, "a", "b"))).select("a", "b")
-    both = possible.join(side("a", F.col("elements").alias("a_set")), "a").join(side("b", F.col("elements").alias("b_set")), "b")
+    return told.filter((F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & F.expr(alike(most, "a", "b"))).select("a", "b")
+
+
+def verified(few: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) with den * intersection >= num * union. Only sets that stand in a pair are moved."""
+    asked = broadcast_if_few(few.select(F.explode(F.array("a", "b")).alias("class_key")).distinct())
+    own = sets.select("class_key", "size", "elements").join(asked, "class_key", "left_semi")
+    side = lambda p: own.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), F.col("elements").alias(f"{p}_set"))
+    both = few.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.select("a", "b", "a_size", "b_size", shared.alias("shared")).filter(F.col("shared") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
 
+def close_pairs(classes: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a bucket's classes of different components that sizes and sketches (a row a class) don't rule out."""
+    pairs = []
+    step = max(1, COMPARED // len(classes))
+    for k in range(0, len(classes), step):
+        here = slice(k, k + step)
+        r, s = size[here, None], size[None, k:]
+        near = (component[here, None] != component[None, k:]) & (np.minimum(r, s) * den >= np.maximum(r, s) * num)
+        x, y = np.nonzero(np.triu(near, 1))
+        odd = np.zeros(len(x), dtype=np.int64)
+        for word in sketch.T:
+            odd += np.bitwise_count(word[here][x] ^ word[k:][y])
+        fits = odd <= (size[here][x] + size[k:][y]) * (den - num) // (den + num)
+        pairs.append((classes[here][x[fits]], classes[k:][y[fits]]))
+    x, y = map(np.concatenate, zip(*pairs))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def within(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that hold all linked ones of different components within a bucket of left (key, class_key, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def met(rows: np.ndarray) -> pa.RecordBatch:
+            bounds = np.flatnonzero(np.diff(rows[0])) + 1
+            found = [close_pairs(g[1], g[2], g[3], g[4:].T.view(np.uint64), num, den) for g in np.split(rows, bounds, axis=1)]
+            a, b = map(np.concatenate, zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            # the last bucket may go on in the next batch
+            begun = int(np.searchsorted(rows[0], rows[0, -1]))
+            if begun:
+                yield met(rows[:, :begun])
+            held = rows[:, begun:]
+        if held is not None:
+            yield met(held)
+
+    told = left.select("key", "class_key", "component").join(sets.select("class_key", "size", *_SKETCH), "class_key")
+    dealt = told.select("key", "class_key", "component", "size", *_SKETCH).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def across(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that hold all linked ones of different components among classes (class_key, component)."""
     own = sets.join(classes, "class_key")
@@ -399,15 +457,20 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
     spark = docs.sparkSession
     index, _ = written(spark, classed(docs.select("doc_id", "text", *more), n), "jaccard-index")
     # one document stands for a class, by its id and text; classes go by numbers from here on
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = index.groupBy("class_key").agg(F.max("n_shingles").alias("size"), F.min("doc_id").alias("first_id"), first)
-    classes, classes_path = written(spark, classes.select("class_key", F.monotonically_increasing_id().alias("class_no"), "size", "first_id", "first.doc_id", "first.text_hash"), "jaccard-reps")
+    rows = index.groupBy("class_key", "doc_id", "text_hash").agg(F.max("n_shingles").alias("size"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("first")
+    classes = rows.groupBy("class_key").agg(F.max("size").alias("size"), F.min("doc_id").alias("first_id"), first)
+    classes, classes_path = written(spark, classes.select("class_key", F.monotonically_increasing_id().alias("class_no"), "size", "first_id", "first.doc_id", "first.text_hash", "first.copies"), "jaccard-reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
 
     def documents_of(chosen: DataFrame) -> DataFrame:
-        """text and class_no of chosen classes; a repeated row comes as often as it stands."""
-        few = broadcast_if_few(chosen.select("class_no", "doc_id", "text_hash"))
-        return texts.join(few, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", "class_no")
+        """text and class_no of chosen classes, a repeated row once; only such rows are shuffled for it."""
+        own = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+        found = lambda some: texts.join(broadcast_if_few(some.select("class_no", "doc_id", "text_hash")), own).select("text", "class_no")
+        repeated = chosen.filter("copies > 1")
+        if not repeated.limit(1).count():
+            return found(chosen)
+        return found(chosen.filter("copies = 1")).unionByName(found(repeated).dropDuplicates(["class_no"]))
 
     plan = bands(crowds(classes), num, den)
     n_keys = classes.agg(F.sum("size")).first()[0] or 1
@@ -417,8 +480,7 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
     members, members_path = written(spark, bucketed(blobs(documents_of(classes.filter(F.col("size") >= plan[0].least)), plan, n, num, den, bits, ranges), ranges), "jaccard-buckets")
     paths = [members_path]
     wanted = classes.join(members.select(F.col("class_key").alias("class_no")).distinct(), "class_no", "left_semi")
-    # a repeated row brings a set twice
-    sets, sets_path = written(spark, sets_of(documents_of(wanted), n).dropDuplicates(["class_key"]), "jaccard-sets")
+    sets, sets_path = written(spark, sets_of(documents_of(wanted), n), "jaccard-sets")
     paths.append(sets_path)
 
     links = None
@@ -429,13 +491,17 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
             ends = left.select(F.col("class_key").alias("x"), F.explode(F.array("low", "high")).alias("y"))
             pairs = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            pairs = across(left.select("class_key", "component").distinct(), sets, num, den)
+            pairs = within(left.filter(F.col("members") <= PAIRED), sets, num, den)
+            large = left.filter(F.col("members") > PAIRED).select("class_key", "component").distinct()
+            if large.limit(1).count():
+                pairs = pairs.union(across(large, sets, num, den)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, pairs_path = written(spark, pairs, "jaccard-pairs")
         paths.append(pairs_path)
-        found, found_path = written(spark, verified(pairs, sets, num, den), "jaccard-links")
-        paths.append(found_path)
+        few, few_path = written(spark, possible(pairs, sets, num, den), "jaccard-possible")
+        found, found_path = written(spark, verified(few, sets, num, den), "jaccard-links")
+        paths += [few_path, found_path]
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         if labels is not None:
@@ -447,8 +513,8 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
         known = left.filter("class_key <> low and class_key <> high").select("key", "class_key").join(labels.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
         # what is still in several components takes other ends: by a hash that changes with the turn
         rank = F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.col("class_key").alias("c"))
-        mixed_ = known.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi")).filter("m <> n")
-        left = known.join(mixed_.select("key", F.col("lo.c").alias("low"), F.col("hi.c").alias("high")), "key")
+        mixed_ = known.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count("*").alias("members")).filter("m <> n")
+        left = known.join(mixed_.select("key", F.col("lo.c").alias("low"), F.col("hi.c").alias("high"), "members"), "key")
         left, left_path = written(spark, left, "jaccard-left")
         paths.append(left_path)
         if not left.limit(1).count():

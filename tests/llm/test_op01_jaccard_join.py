@@ -151,3 +151,38 @@ def test_bands_of_all_sizes_are_planned_at_once():
         assert join.bands({k: 1000 for k in range(60)}, num, 100)[-1].least * 2 > join.LARGEST_SET
     assert time.monotonic() - start < 10
     assert abs(join.above_poisson(50.0, 60) - join.above_poisson(50.0001, 60)) < 0.02 and join.above_poisson(0.0, 3) == 0
+
+
+@pytest.mark.parametrize("paired", [1, 8192])
+def test_buckets_of_any_size_give_all_links(spark, monkeypatch, paired):
+    """Three groups share a passage, so buckets are of several components; compared in a task or sought by elements."""
+    monkeypatch.setattr(join, "PAIRED", paired)
+    monkeypatch.setattr(join, "STAR_ROUNDS", 1)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for _ in range(12):
+        own = [f"g{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(5):
+            text = list(own)
+            text[rng.randrange(60)] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(passage + text)))
+    rows += [rows[3]] * 3
+    assert found(spark, rows, num=80) == brute_force(rows, num=80)
+
+
+def test_close_pairs_are_those_of_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 80)], rng.integers(0, 1 << 64, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(60)]
+    numbers, component, size = rng.permutation(60), rng.integers(0, 8, 60), np.array([len(s) for s in sets])
+    sketch = np.array([join.odd_sketch(s) for s in sets]).view(np.uint64)
+    expected = set()
+    for i in range(60):
+        for j in range(i):
+            odd = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            if component[i] != component[j] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]) and odd <= (size[i] + size[j]) * 20 // 180:
+                expected.add((min(numbers[i], numbers[j]), max(numbers[i], numbers[j])))
+    for compared in (1, 200, 1 << 20):
+        monkeypatch.setattr(join, "COMPARED", compared)
+        assert expected and set(zip(*join.close_pairs(numbers, component, size, sketch, 80, 100))) == expected

@@ -87,3 +87,31 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
         assert np.isfinite(corpus_pipeline.packing_stage(spark, docs, SF).count())
     kept = corpus_pipeline.near_duplicate_stage(spark, odd_docs, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [0, 1, 2, 3, 4, 5, 6, 7, 9, None]))
+
+
+def test_near_duplicates_shuffle_no_whole_texts(spark, tmp_path):
+    """No join moves whole texts, and only sets of possible pairs are moved."""
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        held = spark._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(k).totalShuffleWrite() for k in range(held.size()))
+
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    docs = [(k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(400)])) for k in range(1500)]
+    docs += [(1500 + k, docs[k][1] + " end") for k in range(0, 60, 2)]
+    size = sum(len(t) for _, t in docs)
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(path), SF)
+        kept.write.parquet(f"file://{tmp_path}/kept")
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.read.parquet(f"file://{tmp_path}/kept").count() == 1500
+    assert moved < 2 * size
