@@ -30,7 +30,7 @@ differences than H, or the pair is a candidate. Only places up to H + 1 can matt
 sketches are conditions of the join, so that pairs far apart never become rows. Within one element
 the classes outside its largest component are paired with all of other components, so a component of very many near
 copies is never paired with itself. Pairs are verified by the exact size of the intersection of their sets, so the
-components are exactly those of all links. Sizes and sketches come first; only the sets of pairs that pass are shuffled.
+components are exactly those of all links. Sizes and sketches come first, then a finer sketch; only the sets of pairs that pass are shuffled.
 
 Words are runs other than U+0009 to U+000D and U+0020, after lower-casing A to Z. With fewer words than n, the whole
 sequence is the one element; null, empty or blank texts have an empty set, linked with nothing. A null doc_id counts
@@ -66,6 +66,8 @@ STAR_ROUNDS = 2
 PAIRED, COMPARED = 8192, 1 << 20
 #: 64-bit words of a set's odd sketch.
 SKETCH_WORDS = 8
+#: Those of the sketch that pairs which passed the first are held against: the first says little of sets of a thousand elements.
+FINE_WORDS = 64
 MEMO_WORDS = 200_000
 #: Documents whose sets and keys a worker holds at once.
 ROWS_AT_ONCE = 512
@@ -331,8 +333,8 @@ def bucketed(packed_: DataFrame, ranges: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((mixed(s + np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+def odd_sketch(s: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    bits = np.bincount((mixed(s + np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -340,7 +342,7 @@ _SKETCH = [f"odd{k}" for k in range(SKETCH_WORDS)]
 
 
 def sets_of(chosen: DataFrame, n: int) -> DataFrame:
-    """class_key, size, elements and the odd sketch's words of chosen (text, class_no)."""
+    """class_key, size, elements, the odd sketch's words and the finer one of chosen (text, class_no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
@@ -350,9 +352,10 @@ def sets_of(chosen: DataFrame, n: int) -> DataFrame:
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             sketches = np.array([odd_sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH_WORDS)
             columns = [batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["class_key", "size", "elements", *_SKETCH])
+            columns.append(pa.array([odd_sketch(s, FINE_WORDS) for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["class_key", "size", "elements", *_SKETCH, "fine"])
 
-    return chosen.select(chosen["text"].cast("binary"), "class_no").mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return chosen.select(chosen["text"].cast("binary"), "class_no").mapInArrow(run, "class_key long, size long, elements array<long>, " + ", ".join(f"{c} long" for c in _SKETCH) + ", fine array<long>")
 
 
 def alike(most: str, x: str, y: str) -> str:
@@ -368,14 +371,28 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return told.filter((F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & F.expr(alike(most, "a", "b"))).select("a", "b")
 
 
+def held(few: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with both sizes and a column of both sets, as a_ and b_. Only sets that stand in a pair are moved."""
+
+    def side(p: str) -> DataFrame:
+        asked = broadcast_if_few(few.select(F.col(p).alias("class_key")).distinct())
+        own = sets.select("class_key", "size", column).join(asked, "class_key", "left_semi")
+        return own.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), F.col(column).alias(f"{p}_{column}"))
+
+    return few.join(side("a"), "a").join(side("b"), "b")
+
+
+def finely(few: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that the finer sketches don't rule out."""
+    odd = "aggregate(zip_with(a_fine, b_fine, (x, y) -> bit_count(x ^ y)), 0, (n, k) -> n + k)"
+    return held(few, sets, "fine").filter(f"{odd} <= (a_size + b_size) * {den - num} div {den + num}").select("a", "b")
+
+
 def verified(few: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) with den * intersection >= num * union. Only sets that stand in a pair are moved."""
-    asked = broadcast_if_few(few.select(F.explode(F.array("a", "b")).alias("class_key")).distinct())
-    own = sets.select("class_key", "size", "elements").join(asked, "class_key", "left_semi")
-    side = lambda p: own.select(F.col("class_key").alias(p), F.col("size").alias(f"{p}_size"), F.col("elements").alias(f"{p}_set"))
-    both = few.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.select("a", "b", "a_size", "b_size", shared.alias("shared")).filter(F.col("shared") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
+    """Those of the pairs (a, b) with den * intersection >= num * union."""
+    shared = F.size(F.array_intersect("a_elements", "b_elements"))
+    both = held(few, sets, "elements").select("a", "b", "a_size", "b_size", shared.alias("shared"))
+    return both.filter(F.col("shared") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
 
 def close_pairs(classes: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -500,8 +517,9 @@ def link_components(docs: DataFrame, n: int = NGRAM, num: int = LEAST_NUM, den:
         pairs, pairs_path = written(spark, pairs, "jaccard-pairs")
         paths.append(pairs_path)
         few, few_path = written(spark, possible(pairs, sets, num, den), "jaccard-possible")
-        found, found_path = written(spark, verified(few, sets, num, den), "jaccard-links")
-        paths += [few_path, found_path]
+        near, near_path = written(spark, finely(few, sets, num, den), "jaccard-near")
+        found, found_path = written(spark, verified(near, sets, num, den), "jaccard-links")
+        paths += [few_path, near_path, found_path]
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         if labels is not None:

@@ -186,3 +186,16 @@ def test_close_pairs_are_those_of_all(monkeypatch):
     for compared in (1, 200, 1 << 20):
         monkeypatch.setattr(join, "COMPARED", compared)
         assert expected and set(zip(*join.close_pairs(numbers, component, size, sketch, 80, 100))) == expected
+
+
+def test_finer_sketches_rule_out_pairs_of_large_sets(spark):
+    """Sets of 1,500 elements that share half pass the first sketch; they must not reach the exact check."""
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    texts = [words("a", 1500), words("a", 750) + words("b", 750), words("a", 1450) + words("c", 50)]
+    chosen = spark.createDataFrame([(" ".join(t), k) for k, t in enumerate(texts)], "text string, class_no long")
+    sets = join.sets_of(chosen, 1)
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    few = join.possible(pairs, sets, 80, 100)
+    assert few.count() == 3
+    near = join.finely(few, sets, 80, 100)
+    assert [tuple(r) for r in near.collect()] == [(0, 2)] == [tuple(r) for r in join.verified(near, sets, 80, 100).collect()]
